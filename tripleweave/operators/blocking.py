@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripleweave.functions import text as tx
+from tripleweave.plans.rounds import cut
 
 BLOCK_COLUMNS = ["block_key", "side", "id"]
 CHUNK = 2048
@@ -296,15 +296,6 @@ def overlap_filter_pairs(pairs: DataFrame, *args, **kwargs) -> DataFrame:
 # --- nearest neighbours ----------------------------------------------------------------
 
 
-def _unit(col: Column) -> Column:
-    norm = tx.vector_norm(col)
-    return F.transform(col, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def _search(k: int):
     """k nearest members of one cell chunk for one chunk of queries."""
 
@@ -331,6 +322,16 @@ def _search(k: int):
     return search
 
 
+def _to_pivots(centres: np.ndarray, vec: pd.Series, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (scaled to length 1 if ``unit``) and their distances to every pivot."""
+    v = np.stack(vec.to_numpy()).astype("float64")
+    if unit:
+        length = np.sqrt((v * v).sum(1, keepdims=True))
+        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+    squared = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (v @ centres.T)
+    return v, np.sqrt(np.maximum(squared, 0.0))
+
+
 def embedding_blocking(
     a: DataFrame,
     b: DataFrame,
@@ -344,105 +345,104 @@ def embedding_blocking(
 
     ``b`` is cut into cells around a fixed number of pivots. By the triangle inequality a
     query only visits cells that can hold a neighbour closer than its current k-th one; big
-    cells are cut into chunks. The score is the cosine, or minus the distance.
+    cells and busy cells are cut into chunks. The score is the cosine, or minus the distance.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
-    vec = _unit(F.col(vec_col)) if metric == "cosine" else F.col(vec_col).cast("array<double>")
-    left = a.select(F.col(id_col).alias("id"), vec.alias("vec"))
-    right = b.select(F.col(id_col).alias("id"), vec.alias("vec"))
-    id_type = right.schema["id"].dataType
-
-    # A fixed number of pivot vectors (``pivots`` rows), carried as one scalar array.
-    chosen = right.orderBy(F.xxhash64("id"), "id").limit(pivots)
-    centres = chosen.agg(F.array_sort(F.collect_list(F.struct("id", "vec")))).scalar()
-    left = left.withColumn("_centres", centres)
-    right_at = right.withColumn("_centres", centres)
-    distances = F.transform("_centres", lambda p, i: F.struct(_distance(F.col("vec"), p["vec"]).alias("d"), i.alias("cell")))
-
-    homes = right_at.select("id", "vec", F.array_min(distances).alias("_h")).select(
-        "id", "vec", F.col("_h.cell").alias("cell"), F.col("_h.d").alias("_d")
-    )
-    stats = homes.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")
-    )
-    cells = stats.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "lo", "hi")))).scalar()
-    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
-    members = homes.join(F.broadcast(stats.select("cell", "n")), "cell").select(  # at most ``pivots`` rows
-        "cell", F.pmod(F.xxhash64("id"), chunks(F.col("n"))).cast("int").alias("chunk"), "id", "vec"
-    )
-
-    # Distance of every query to every cell, and the radius that certainly holds k members.
-    routes = left.select("id", "vec", distances.alias("_dist"), cells.alias("_stats"))
-    seen = routes.select(
-        "id",
-        "vec",
-        F.transform(
-            "_stats",
-            lambda c: F.struct(
-                F.element_at("_dist", c["cell"] + 1)["d"].alias("d"),
-                c["cell"].alias("cell"), c["n"].alias("n"), c["lo"].alias("lo"), c["hi"].alias("hi"),
-            ),
-        ).alias("_cells"),
-    )
-    by_reach = F.array_sort(F.transform("_cells", lambda c: F.struct((c["d"] + c["hi"]).alias("ub"), c["n"].alias("n"))))
-    radius = F.aggregate(
-        by_reach,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(float("inf")).alias("r")),
-        lambda s, c: F.struct(
-            (s["n"] + c["n"]).alias("n"),
-            F.when((s["n"] < k) & (s["n"] + c["n"] >= k), c["ub"]).otherwise(s["r"]).alias("r"),
-        ),
-        lambda s: s["r"],
-    )
-    seen = seen.withColumn("_r", radius)
-
-    schema = T.StructType(
-        [
-            T.StructField("id_1", left.schema["id"].dataType),
-            T.StructField("id_2", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+    unit = metric == "cosine"
+    left = a.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    right = b.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    id_1, id_2 = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+
+    # A fixed number of rows comes to the driver: ``pivots`` vectors, later one row per cell.
+    chosen = right.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    centres = np.array([r["vec"] for r in chosen], dtype="float64")
+    if unit:
+        length = np.sqrt((centres * centres).sum(1, keepdims=True))
+        centres = np.divide(centres, length, out=np.zeros_like(centres), where=length > 0)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v, d = _to_pivots(centres, batch["vec"], unit)
+            cell = d.argmin(1)
+            yield pd.DataFrame(
+                {"id": batch["id"], "vec": list(v), "cell": cell.astype("int32"), "d": d[np.arange(len(d)), cell]}
+            )
 
-    def visit(routed: DataFrame) -> DataFrame:
+    homes = cut(right.mapInPandas(settle, f"id {id_2}, vec array<double>, cell int, d double"), "cells")
+    stats = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    stats = {r["cell"]: r for r in stats.collect()}
+    cells = sorted(stats)
+    n, lo, hi = (np.array([stats[c][f] for c in cells], dtype="float64") for f in ("n", "lo", "hi"))
+    chunk_of = np.array([-(-stats[c]["n"] // CHUNK) if c in stats else 1 for c in range(len(centres))])
+    chunk_lit = F.array(*[F.lit(int(c)) for c in chunk_of])
+    chunks = F.element_at(chunk_lit, F.col("cell") + 1)
+    members = homes.select("cell", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), "id", "vec")
+
+    def route(with_bound: bool):
+        """Send a query to its nearest cell, or to all cells within its known radius."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                v, d = _to_pivots(centres, batch["vec"], unit)
+                d = d[:, cells]
+                if with_bound:
+                    # k members lie within the reach of the nearest cells that hold k in all.
+                    reach = d + hi
+                    order = reach.argsort(1)
+                    enough = (n[order].cumsum(1) >= k).argmax(1)
+                    rows = np.arange(len(d))
+                    radius = np.where(n.sum() >= k, reach[rows, order[rows, enough]], np.inf)
+                    radius = np.fmin(radius, batch["kth"].to_numpy(dtype="float64")) + 1e-7
+                    lower = np.maximum(0.0, np.maximum(d - hi, lo - d))
+                    row, col = np.nonzero(lower <= radius[:, None])
+                else:
+                    row, col = np.arange(len(d)), d.argmin(1)
+                yield pd.DataFrame(
+                    {
+                        "id": batch["id"].to_numpy()[row],
+                        "vec": [v[i] for i in row],
+                        "cell": np.array(cells, dtype="int32")[col],
+                    }
+                )
+
+        return run
+
+    schema = f"id_1 {id_1}, id_2 {id_2}, distance double"
+
+    def visit(queries: DataFrame) -> DataFrame:
         """Search the cells of the routed queries, chunk of members by part of queries."""
-        load = routed.groupBy(F.col("_c.cell").alias("cell")).agg(chunks(F.count("*")).alias("_parts"))
+        load = queries.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("_parts"))
         load = F.broadcast(load)  # one row per cell
-        queries = (
-            routed.select("id", "vec", F.col("_c.cell").alias("cell"), F.col("_c.n").alias("_n")).join(load, "cell")
-            .select(
-                "cell", F.explode(F.sequence(F.lit(0), chunks(F.col("_n")) - 1)).alias("chunk"),
-                F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("part"), "id", "vec",
-            )
+        asked = queries.join(load, "cell").select(
+            "cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
+            F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("part"), "id", "vec",
         )
         held = members.join(load, "cell").select(
             "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "id", "vec"
         )
         keys = ["cell", "chunk", "part"]
-        return queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_search(k), schema)
+        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_search(k), schema)
 
-    home = seen.select("id", "vec", F.array_min("_cells").alias("_c"))
-    first = visit(home)
+    routed = f"id {id_1}, vec array<double>, cell int"
+    first = visit(cut(left.mapInPandas(route(False), routed), "routes"))
     nth = Window.partitionBy("id_1").orderBy("distance", "id_2")
     kth = (
         first.withColumn("_rn", F.row_number().over(nth))
         .where(F.col("_rn") == k)
-        .select(F.col("id_1").alias("id"), F.col("distance").alias("_kth"))
-    )
-    narrowed = seen.join(kth, "id", "left").withColumn("_r", F.least("_r", "_kth") + 1e-9)
-    lower = lambda c: F.greatest(F.lit(0.0), c["d"] - c["hi"], c["lo"] - c["d"])
-    routed = narrowed.select("id", "vec", F.explode("_cells").alias("_c"), "_r").where(
-        lower(F.col("_c")) <= F.col("_r")
+        .select(F.col("id_1").alias("id"), F.col("distance").alias("kth"))
     )
-    found = visit(routed)
+    found = visit(cut(left.join(kth, "id", "left").mapInPandas(route(True), routed), "routes"))
     exact = (
         found.withColumn("_rn", F.row_number().over(nth)).where(F.col("_rn") <= k + 4)
         .join(left.select(F.col("id").alias("id_1"), F.col("vec").alias("_l")), "id_1")
         .join(right.select(F.col("id").alias("id_2"), F.col("vec").alias("_r")), "id_2")
     )
-    score = tx.dot(F.col("_l"), F.col("_r")) if metric == "cosine" else -_distance(F.col("_l"), F.col("_r"))
-    ranked = Window.partitionBy("id_1").orderBy(F.desc("score"), "id_2")
+    lv, rv = F.col("_l"), F.col("_r")
+    norms = tx.vector_norm(lv) * tx.vector_norm(rv)
+    gap = F.aggregate(F.zip_with(lv, rv, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    score = F.when(norms > 0, tx.dot(lv, rv) / norms).otherwise(F.lit(0.0)) if unit else -F.sqrt(gap)
+    ranked = Window.partitionBy("id_1").orderBy(F.desc(F.round("score", 12)), "id_2")
     return (
         exact.select("id_1", "id_2", score.alias("score"))
         .withColumn("rank", F.row_number().over(ranked))
