@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-FAMILIES = ["blocking"]
+FAMILIES = ["blocking", "records", "schema", "matching"]
 
 for _family in FAMILIES:
     _module = import_module(f"queries.{_family}")

@@ -26,7 +26,7 @@ TABLES = (
 
 
 def norm(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, bool):
         return value

@@ -59,7 +59,7 @@ def clean_value(col: Column) -> Column:
 
 def parse_price(col: Column) -> Column:
     """Number after a one-character currency sign; NULL when there is none."""
-    return F.expr("NULL").cast("double") if col is None else F.substring(col, 2, 1 << 20).try_cast("double")
+    return F.substring(col, 2, 1 << 20).try_cast("double")
 
 
 def normalise_question(col: Column) -> Column:

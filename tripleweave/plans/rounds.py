@@ -97,3 +97,17 @@ def top_per_group(
         .where(F.col("_rn") <= k)
         .drop("_rn", "_salt")
     )
+
+
+def row_numbers(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers in the present row order, from written partitions and their sizes."""
+    placed = cut(df.withColumn("_pos", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col("_pos"), 33)
+    sizes = placed.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_pos").bitwiseAND((1 << 33) - 1) + start
+    return (
+        placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per partition
+        .select(number.alias(name), *df.columns)
+    )
