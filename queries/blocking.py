@@ -249,9 +249,8 @@ def learn_blocking_rules(spark, sf):
     matches = cut(pairs.where(F.col("overlap") >= 0.8 * F.size(tx.tokens(F.col("l_text")))), "matches")
     sent = lambda c: F.array(F.substring_index(F.col(c), ".", 1))
     rare = lambda c: F.filter(tx.tokens(F.col(c)), lambda t: F.length(t) >= 12)
-    pairs_of = lambda c: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tx.words(F.col(c))) - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.slice(tx.words(F.col(c)), i, F.lit(2))),
+    pairs_of = lambda c: F.zip_with(
+        tx.words(F.col(c)), F.slice(tx.words(F.col(c)), 2, 1 << 30), lambda x, y: F.concat_ws(" ", x, y)
     )
     rules = {
         "first sentence": (sent("l_text"), sent("r_text")),

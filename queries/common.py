@@ -41,7 +41,10 @@ def sql_tokens(expr: str) -> str:
 
 
 def sql_qgrams(expr: str, q: int = 3) -> str:
+    chars = f"string_split({expr}, '')"
+    shifted = ", ".join([chars] + [f"({chars})[{i}:]" for i in range(2, q + 1)])
+    joined = " || ".join(f"z[{i}]" for i in range(1, q + 1))
     return (
-        f"(case when length({expr}) >= {q} then list_transform(range(1, length({expr}) - {q} + 2), "
-        f"lambda i: substr({expr}, i, {q})) when length({expr}) > 0 then [{expr}] else [] end)"
+        f"(case when length({expr}) >= {q} then list_transform(list_zip({shifted}, true), lambda z: {joined}) "
+        f"when length({expr}) > 0 then [{expr}] else [] end)"
     )

@@ -80,9 +80,14 @@ def tokens(col: Column) -> Column:
 
 def qgrams(col: Column, q: int = 3) -> Column:
     """Character q-grams in order; a string shorter than q is its own gram."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(col) - q + 1), lambda i: F.substring(col, i, F.lit(q)))
+    # Shifted character arrays side by side: linear in the text, where one substring per
+    # position would walk a long text from its start every time.
+    chars = F.split(col, "")
+    grams = chars
+    for shift in range(1, q):
+        grams = F.zip_with(grams, F.slice(chars, shift + 1, F.greatest(F.length(col), F.lit(1))), lambda a, b: F.concat(a, b))
     return (
-        F.when(F.length(col) >= q, grams)
+        F.when(F.length(col) >= q, F.slice(grams, 1, F.length(col) - q + 1))
         .when(F.length(col) > 0, F.array(col))
         .otherwise(F.array().cast("array<string>"))
     )

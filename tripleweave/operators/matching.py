@@ -171,7 +171,7 @@ def default_features(a: DataFrame, b: DataFrame, keys: tuple[str, str], long_col
             largest = F.greatest(F.abs(l), F.abs(r))
             features[f"{name}_exact"] = (l == r).cast("double")
             features[f"{name}_abs_diff"] = F.abs(l - r)
-            features[f"{name}_rel_diff"] = F.when(largest > 0, F.abs(l - r) / largest).otherwise(F.lit(0.0))
+            features[f"{name}_rel_diff"] = F.when(largest > 0, F.abs(l - r) / largest).when(l == r, F.lit(0.0))
     return features
 
 
