@@ -159,16 +159,20 @@ def labelled_features(spark, sf):
     """Passage/document pairs with 12 common words; a match holds 80 % of the passage's words."""
     a = table(spark, sf, "benchmark").select("item_id", "text")
     b = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = bl.overlap_blocking(a, b, "item_id", "doc_id", "text", "text", overlap_size=12, l_out=("text",), r_out=("text",))
-    lw, rw = tx.tokens(F.col("l_text")), tx.tokens(F.col("r_text"))
+    pairs = bl.overlap_blocking(a, b, "item_id", "doc_id", "text", "text", overlap_size=12)
+    # Word and gram sets are built once per record, not once per pair.
+    sets = [tx.tokens(F.col("text")).alias("words"), F.array_distinct(tx.qgrams(F.lower("text"), 3)).alias("grams")]
+    a, b = cut(a.select("item_id", *sets), "sets"), cut(b.select("doc_id", *sets), "sets")
+    joined = mt.with_records(pairs, a, b, "item_id", "doc_id")
+    lw, rw = F.col("l_words"), F.col("r_words")
     features = {
         "jac_words": tx.set_jaccard(lw, rw),
         "cos_words": tx.set_cosine(lw, rw),
-        "jac_qgm_3": tx.set_jaccard(tx.qgrams(F.lower("l_text"), 3), tx.qgrams(F.lower("r_text"), 3)),
+        "jac_qgm_3": tx.set_jaccard(F.col("l_grams"), F.col("r_grams")),
         "size_ratio": F.size(lw) / F.size(rw),
     }
     label = (F.col("overlap") >= 0.8 * F.size(lw)).cast("int")
-    return cut(mt.extract_features(pairs.withColumn("label", label), features), "features")
+    return cut(mt.extract_features(joined.withColumn("label", label), features), "features")
 
 
 def train_test(spark, sf):
@@ -313,4 +317,4 @@ def cl_correlation(spark, sf):
 
 @reg.query("cl_markov")
 def cl_markov(spark, sf):
-    return cl.markov(turn_edges(spark, sf), 0.05)
+    return cl.markov(turn_edges(spark, sf), 0.15)
