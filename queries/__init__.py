@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-FAMILIES = ["blocking", "records", "schema", "matching", "kb", "graph"]
+FAMILIES = ["blocking", "records", "schema", "matching", "kb", "graph", "linking"]
 
 for _family in FAMILIES:
     _module = import_module(f"queries.{_family}")
