@@ -195,11 +195,13 @@ hop as (select a.o e1, b.o e2, max(least(m0.score, x.l, y.l, u.score, v.score, g
 boot as (select e1, e2, max(score) score from (select * from sc union all select * from hop) group by all)"""
 
 
-@reg.query("kg_bootstrap", f"with {KBS}, {SEEDS}, {BOOT} select e1, e2, round(score, 6) score from boot")
+@reg.query("kg_bootstrap", f"with {KBS}, {SEEDS}, {BOOT}, {sql_bilateral('boot', 'mb')} select e1, e2, round(score, 6) score from mb")
 def kg_bootstrap(spark, sf):
+    """The matches after one hop; pairs that cannot be matches are never listed."""
     f1, f2, s = both(spark, sf)
     fun = kb.merge_functionality(kb.functionality(f1), kb.functionality(f2), ["p"])
-    return scored(kb.bootstrap(f1, f2, s, kb.init_subsumption(f1, f2), fun))
+    hop = kb.bootstrap(f1, f2, s, kb.init_subsumption(f1, f2), fun, dominated=False)
+    return scored(kb.bilateral_max(cut(hop, "scores")))
 
 
 def sql_agree(a: str, b: str) -> str:

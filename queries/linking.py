@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import Registry, r6, sql_words, table
+from queries.records import sql_fold
 from tripleweave.functions import text as tx
 from tripleweave.operators import extract as ex
 from tripleweave.operators import linking as lk
@@ -196,11 +197,12 @@ def lk_determiner(spark, sf):
 
 
 def sql_bigrams(src: str) -> str:
-    return f"select distinct a || ' ' || b x from (select unnest(list_zip(w, w[2:], true)) z, z[1] a, z[2] b from (select {sql_words('text')} w from {src}))"
+    w = sql_words(sql_fold("text"))
+    return f"select distinct a || ' ' || b x from (select unnest(list_zip(w, w[2:], true)) z, z[1] a, z[2] b from (select {w} w from {src}))"
 
 
 def bigrams(df):
-    w = tx.words(F.col("text"))
+    w = tx.words(tx.fold_accents(F.col("text")))
     pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
     return df.select(F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("x")).distinct()
 

@@ -199,23 +199,44 @@ def max_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("e1", "e2").agg(F.max("score").alias("score")).where("score > 0")
 
 
-def bootstrap(f1: DataFrame, f2: DataFrame, scores: DataFrame, subsumption: DataFrame, functionalities: DataFrame) -> DataFrame:
-    """One hop from the matched subjects to their objects, merged into ``scores``."""
+def bootstrap(
+    f1: DataFrame, f2: DataFrame, scores: DataFrame, subsumption: DataFrame, functionalities: DataFrame, dominated: bool = True
+) -> DataFrame:
+    """One hop from the matched subjects to their objects, merged into ``scores``.
+
+    All objects of a subject and predicate get the same score, so the score is worked out once
+    per pair of (subject, predicate) groups. Without ``dominated`` a pair is listed only if it
+    reaches the best score of its left entity: that best score never falls, so a weaker pair
+    cannot be a mutual best match in this or any later round. Big groups whose members are
+    better matched elsewhere then list nothing.
+    """
     matched = bilateral_max(scores)
-    rated = lambda f, i: (
-        f.where(~is_literal("o")).join(local_functionality(f).withColumnRenamed("score", "_l"), ["s", "p"])
-        .join(functionalities.withColumnRenamed("score", "_f"), "p")
-        .select(F.col("s").alias(f"s{i}"), F.col("p").alias(f"p{i}"), F.col("o").alias(f"o{i}"), F.least("_l", "_f").alias(f"w{i}"))
+    groups = lambda f, i: (
+        local_functionality(f).withColumnRenamed("score", "_l").join(functionalities.withColumnRenamed("score", "_f"), "p")
+        .select(F.col("s").alias(f"s{i}"), F.col("p").alias(f"p{i}"), F.least("_l", "_f").alias(f"w{i}"))
+    )
+    members = lambda f, i: f.where(~is_literal("o")).select(
+        F.col("s").alias(f"s{i}"), F.col("p").alias(f"p{i}"), F.col("o").alias(f"e{i}")
     )
     either = subsumption.unionAll(subsumption.select("p2", "p1", "score"))
     implied = either.groupBy("p1", "p2").agg(F.max("score").alias("_s"))
-    hops = (
-        rated(f1, 1).join(matched.select(F.col("e1").alias("s1"), F.col("e2").alias("s2"), "score"), "s1")
-        .join(rated(f2, 2), "s2").join(implied, ["p1", "p2"])
+    met = (
+        groups(f1, 1).join(matched.select(F.col("e1").alias("s1"), F.col("e2").alias("s2"), F.col("score").alias("_m")), "s1")
+        .join(groups(f2, 2), "s2").join(implied, ["p1", "p2"])
+        .select("s1", "p1", "s2", "p2", F.least(F.lit(1.0), "_m", "w1", "w2", "_s").alias("score"))
     )
-    score = F.least(F.lit(1.0), F.least("score", "w1", "w2", "_s"))
-    new = hops.groupBy(F.col("o1").alias("e1"), F.col("o2").alias("e2")).agg(F.max(score).alias("score"))
-    return max_merge(scores, new)
+    left, right = members(f1, 1), members(f2, 2)
+    if not dominated:
+        met = cut(met, "groups")
+        reach_1 = met.groupBy("s1", "p1").agg(F.max("score").alias("score")).join(left, ["s1", "p1"]).select("e1", "score")
+        best_1 = reach_1.unionAll(scores.select("e1", "score")).groupBy("e1").agg(F.max("score").alias("_b1"))
+        left = left.join(best_1, "e1")
+        tops = left.select("s1", "p1", "_b1").distinct()
+        met = met.join(tops, ["s1", "p1"]).where("score = _b1").select("s1", "p1", "s2", "p2", "score")
+    new = met.join(left, ["s1", "p1"]).join(right, ["s2", "p2"])
+    if not dominated:
+        new = new.where("score = _b1")
+    return max_merge(scores, new.groupBy("e1", "e2").agg(F.max("score").alias("score")))
 
 
 def _certain(matches: DataFrame) -> DataFrame:
@@ -223,14 +244,30 @@ def _certain(matches: DataFrame) -> DataFrame:
     return best.where(F.round("_b", 1) >= 1.0).select(F.col("e1").alias("s"))
 
 
-EVIDENCE = ["s1", "s2", "o1", "q1", "o2", "q2", "m", "q", "rank"]
+def _settled(found: DataFrame) -> DataFrame:
+    """One fact of KB 2 per (fact of KB 1, candidate), then one fact of KB 1 per fact of KB 2."""
+    per_candidate = found.groupBy("s1", "q1", "o1", "rank", "s2").agg(
+        F.min(F.struct((-F.col("q")).alias("_q"), "o2", "q2", "m", "q")).alias("_e")
+    ).select("s1", "s2", "q1", "o1", "rank", "_e.o2", "_e.q2", "_e.m", "_e.q")
+    single = per_candidate.groupBy("s1", "s2", "o2", "q2").agg(
+        F.min(F.struct((-F.least("m", "q")).alias("_w"), "rank", "q1", "o1", "m", "q")).alias("_e")
+    )
+    return single.select("s1", "s2", "_e.o1", "_e.q1", "o2", "q2", "_e.m", "_e.q", "_e.rank")
 
 
-def search_evidence(f1: DataFrame, f2: DataFrame, matches: DataFrame, quasi: DataFrame, gram_n: int = 100) -> DataFrame:
+def search_evidence(
+    f1: DataFrame, f2: DataFrame, matches: DataFrame, quasi: DataFrame, gram_n: int = 100, heavy_degree: int | None = 64
+) -> DataFrame:
     """Pairs of agreeing facts ``(o1, q1, s1)`` and ``(o2, q2, s2)`` per candidate pair.
 
     An entity of KB 1 uses its ``gram_n`` most informative facts, those with the best
     ``least(object match, predicate match)``; per fact a candidate counts once.
+
+    Facts that lead to more than ``heavy_degree`` candidates are not expanded at first: the
+    candidates come from the other facts and the heavy ones are only looked up for them. A
+    candidate with heavy evidence alone has at most as many pieces of it as the entity has
+    heavy facts; where the best candidate found has more, those cannot be selected and stay
+    out. For all other entities the heavy facts are expanded as well. ``None`` expands all.
     """
     best_o = matches.groupBy(F.col("e1").alias("o1")).agg(F.max("score").alias("_mo"))
     best_q = quasi.groupBy(F.col("p1").alias("q1")).agg(F.max("score").alias("_mq")).where("_mq > 0")
@@ -241,22 +278,33 @@ def search_evidence(f1: DataFrame, f2: DataFrame, matches: DataFrame, quasi: Dat
     )
     order = Window.partitionBy("s1").orderBy(F.desc(F.least("_mo", "_mq")), "q1", "o1")
     used = facts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= gram_n).select("o1", "q1", "s1", "rank")
+    used = cut(used, "used")
+
+    # Which facts of KB 2 a fact may go with depends on their subject and predicate only.
     m = matches.select(F.col("e1").alias("o1"), F.col("e2").alias("o2"), F.col("score").alias("m"))
     other = f2.select(F.col("s").alias("o2"), F.col("p").alias("q2"), F.col("o").alias("s2")).where(~is_literal("s2"))
+    heads = other.groupBy("o2", "q2").agg(F.count("*").alias("degree"))
     q = quasi.where("score > 0").select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("score").alias("q"))
-    found = used.join(m, "o1").join(other, "o2").join(q, ["q1", "q2"])
-
-    # The best predicate per (fact, o2), then one fact of KB 2 per (fact, candidate), then one
-    # fact of KB 1 per (candidate, fact of KB 2). Plain aggregates over structs.
-    top_q = Window.partitionBy("s1", "q1", "o1", "o2")
-    aligned = found.withColumn("_top", F.max("q").over(top_q)).where("q = _top").drop("_top")
-    per_candidate = aligned.groupBy("s1", "q1", "o1", "rank", "s2").agg(
-        F.min(F.struct((-F.col("q")).alias("_q"), "o2", "q2", "m", "q")).alias("_e")
-    ).select("s1", "s2", "q1", "o1", "rank", "_e.o2", "_e.q2", "_e.m", "_e.q")
-    single = per_candidate.groupBy("s1", "s2", "o2", "q2").agg(
-        F.min(F.struct((-F.least("m", "q")).alias("_w"), "rank", "q1", "o1", "m", "q")).alias("_e")
+    met = used.select("o1", "q1").distinct().join(m, "o1").join(heads, "o2").join(q, ["q1", "q2"])
+    top = met.groupBy("q1", "o1", "o2").agg(F.max("q").alias("q"))
+    aligned = met.join(top, ["q1", "o1", "o2", "q"])
+    if heavy_degree is None:
+        return _settled(used.join(aligned, ["o1", "q1"]).join(other, ["o2", "q2"]))
+
+    aligned = cut(aligned, "aligned")
+    light = cut(used.join(aligned.where(F.col("degree") <= heavy_degree), ["o1", "q1"]).join(other, ["o2", "q2"]), "light")
+    heavy = used.join(aligned.where(F.col("degree") > heavy_degree), ["o1", "q1"])
+    pairs = light.select("s1", "s2").distinct()
+    looked_up = heavy.join(pairs, "s1").join(other, ["o2", "q2", "s2"], "left_semi")
+    known = cut(_settled(light.unionByName(looked_up.select(*light.columns))), "known")
+    free = known.join(_certain(matches).withColumnRenamed("s", "s2"), "s2", "left_anti")
+    reached = free.groupBy("s1", "s2").agg(F.count("*").alias("n")).groupBy("s1").agg(F.max("n").alias("n"))
+    limit = heavy.select("s1", "q1", "o1").distinct().groupBy("s1").agg(F.count("*").alias("h"))
+    unsure = cut(limit.join(reached, "s1", "left").where("n IS NULL OR n <= h").select("s1"), "unsure")
+    rest = light.join(unsure, "s1", "left_semi").unionByName(
+        heavy.join(unsure, "s1", "left_semi").join(other, ["o2", "q2"]).select(*light.columns)
     )
-    return single.select("s1", "s2", "_e.o1", "_e.q1", "o2", "q2", "_e.m", "_e.q", "_e.rank")
+    return known.join(unsure, "s1", "left_anti").unionByName(_settled(rest))
 
 
 def select_candidates(evidence: DataFrame, matches: DataFrame) -> DataFrame:
@@ -387,7 +435,7 @@ def align_kbs(
     pairs = cut(merge_functionality(functionality_pairs(f1), functionality_pairs(f2), ["p1", "p2"]), "functionality")
     sub = cut(init_subsumption(f1, f2, given_predicates, default), "subsumption")
     scores = cut(max_merge(seeds, match_literals(f1, f2, init)), "scores")
-    scores = cut(bootstrap(f1, f2, scores, sub, fun), "scores")
+    scores = cut(bootstrap(f1, f2, scores, sub, fun, dominated=False), "scores")
     matches = cut(bilateral_max(scores), "matches")
     sub = cut(map_subrelations(f1, f2, matches, sub, alpha), "subsumption")
     quasi = cut(quasi_equivalence(sub, f1, f2), "quasi")
