@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from tripleweave.operators import kb_align as kb
 from tripleweave.operators import prob_align as pa
+from tripleweave.plans.rounds import cut
 
 FACT = "s string, p string, o string, o_is_literal boolean"
 
@@ -46,28 +47,33 @@ def test_pair_functionality_equals_listing_all_pairs(spark, seed):
 
 
 def setting(spark):
-    f1, f2 = (kb.load_facts(random_kb(spark, s, side)).cache() for s, side in ((1, "a"), (2, "b")))
+    f1, f2 = (cut(kb.load_facts(random_kb(spark, s, side))) for s, side in ((1, "a"), (2, "b")))
     seeds = spark.createDataFrame([(f'"n{i}"', f'"n{i}"', 1.0) for i in range(9)] + [("a:c0", "b:c0", 0.8), ("a:t0", "b:t0", 0.7)], "e1 string, e2 string, score double")
     fun = kb.merge_functionality(kb.functionality(f1), kb.functionality(f2), ["p"])
     given = spark.createDataFrame([(f"a:name{i}", f"b:name{i}", 0.9) for i in ("", "^-1")], "p1 string, p2 string, score double")
-    return f1, f2, seeds, fun, kb.init_subsumption(f1, f2, given)
+    return f1, f2, seeds, cut(fun), cut(kb.init_subsumption(f1, f2, given))
 
 
 def test_pruned_bootstrap_gives_the_same_matches(spark):
     f1, f2, seeds, fun, sub = setting(spark)
-    full = kb.bootstrap(f1, f2, seeds, sub, fun)
-    pruned = kb.bootstrap(f1, f2, seeds, sub, fun, dominated=False)
+    full = cut(kb.bootstrap(f1, f2, seeds, sub, fun))
+    pruned = cut(kb.bootstrap(f1, f2, seeds, sub, fun, dominated=False))
     assert pruned.count() < full.count()
     assert rows(kb.bilateral_max(pruned)) == rows(kb.bilateral_max(full))
 
 
 def test_pruned_evidence_selects_the_same_candidates(spark):
     f1, f2, seeds, fun, sub = setting(spark)
-    matches = kb.bilateral_max(kb.bootstrap(f1, f2, seeds, sub, fun)).cache()
-    quasi = kb.quasi_equivalence(kb.map_subrelations(f1, f2, matches, sub), f1, f2).cache()
-    full = rows(kb.select_candidates(kb.search_evidence(f1, f2, matches, quasi, heavy_degree=None), matches))
+    matches = cut(kb.bilateral_max(cut(kb.bootstrap(f1, f2, seeds, sub, fun))))
+    quasi = cut(kb.quasi_equivalence(cut(kb.map_subrelations(f1, f2, matches, sub)), f1, f2))
+
+    def selected(degree):
+        found = cut(kb.search_evidence(f1, f2, matches, quasi, heavy_degree=degree))
+        return rows(kb.select_candidates(found, matches))
+
+    full = selected(None)
     for degree in (1, 4):
-        assert rows(kb.select_candidates(kb.search_evidence(f1, f2, matches, quasi, heavy_degree=degree), matches)) == full
+        assert selected(degree) == full
     assert full
 
 

@@ -2,7 +2,9 @@
 
 A knowledge base is a set of facts ``(s, p, o)``; literal objects are written in quotes
 (``node``), and every fact also stands inverted (``p`` with ``^-1``). Scores are long
-tables: matches ``(e1, e2, score)`` and predicate subsumption ``(p1, p2, score)``.
+tables: matches ``(e1, e2, score)`` and predicate subsumption ``(p1, p2, score)``. Most
+steps read their inputs several times: hand them written tables (``plans.rounds.cut``), as
+``align_kbs`` does.
 """
 
 from __future__ import annotations
