@@ -36,6 +36,16 @@ def read_records(
     return df if df.where(broken).isEmpty() else load("ISO-8859-1")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a table comes in fewer files than there are cores.
+
+    For tables whose rows are worked on at length (texts): one big file would otherwise be one
+    task. A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cap_rows(df: DataFrame, cutoff: int | str | None, key: list[str]) -> DataFrame:
     """First ``cutoff`` rows in key order; no cap when it is not a positive number."""
     try:
