@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import byte_bpe, decontaminate, near_dup, token_files
+from tripleweave.llm import byte_bpe, chat, cws, decontaminate, near_dup, pii, token_files, toxicity
 from tripleweave.plans.rounds import new_path
 
 QUERIES: dict = {}
@@ -58,3 +58,50 @@ def op3(spark, sf_dir):
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
+
+
+@query("op4_weighted_fingerprints")
+def op4(spark, sf_dir):
+    return cws.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_chat_format",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), marked AS (
+        SELECT *, regexp_replace(role, '<(~*)\|', '<~\1|', 'g') AS r, regexp_replace(text, '<(~*)\|', '<~\1|', 'g') AS t FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length('<|turn|>' || r || '<|says|>' || t || '<|done|>'))::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """.replace("\\\\", "\\"),
+)
+def op5(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    path = new_path(spark, "chat")
+    chat.write_pieces(chat.render(chat.fold_events(chat.as_events(turns.unionAll(more)))), path)
+    return chat.digest(chat.read_pieces(spark, path))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
+    )
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
