@@ -151,6 +151,13 @@ def codec(rank_file: bytes, pattern: str) -> ByteBpe:
     return _made[key]
 
 
+def _lists(coded: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit ids over one buffer."""
+    ends = np.cumsum([0] + [len(x) // 4 for x in coded]).astype(np.int32)
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids)``; the rank file is read here, on the driver, and sent with the tasks."""
     with open(rank_path, "rb") as f:
@@ -158,10 +165,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = codec(rank_file, pattern)
-        flat = [bpe.encode(t) for t in part.column("text").to_pylist()]
-        ends = np.cumsum([0] + [len(x) // 4 for x in flat]).astype(np.int32)
-        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(flat))])
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
+        ids = _lists([bpe.encode(t) for t in part.column("text").to_pylist()])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return over_texts(id_text(docs, id_col, text), work, f"doc_id {kind}, ids array<int>")
@@ -183,25 +188,26 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, then decode those ids, in one pass: counts and digests of both."""
+def round_trip(
+    docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Encode, then decode those ids, in one pass: counts and digests of both, and the ids if wanted."""
     with open(rank_path, "rb") as f:
         rank_file = f.read()
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = codec(rank_file, pattern)
         ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column("doc_id"),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        columns = {
+            "doc_id": part.column("doc_id"),
+            "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = _lists(ids)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return over_texts(
-        id_text(docs, id_col, text), work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return over_texts(id_text(docs, id_col, text), work, schema + (", ids array<int>" if with_ids else ""))

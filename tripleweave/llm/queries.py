@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import byte_bpe, chat, cws, decontaminate, near_dup, pii, token_files, toxicity
+from tripleweave.llm import byte_bpe, chat, cws, decontaminate, line_dedup, near_dup, pii, repeats, token_files, toxicity
 from tripleweave.plans.rounds import new_path
 
 QUERIES: dict = {}
@@ -105,3 +105,13 @@ def op7(spark, sf_dir):
 @query("op10_pii")
 def op10(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query("op6_line_dedup")
+def op6(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_repeated_passages")
+def op8(spark, sf_dir):
+    return repeats.digest(table(spark, sf_dir, "documents"))
