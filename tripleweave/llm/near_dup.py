@@ -8,7 +8,9 @@
 3. Pairs whose signatures agree too little are left out (the margin is over five standard
    deviations); the others are confirmed on the full sets, streamed past their pivot's set.
 4. Where a bucket still holds several components, the members outside its largest one are paired
-   with every member of another component: no pair that shares a bucket stays undecided.
+   with every member of another component: no pair that shares a bucket stays undecided. Pairs are
+   listed for small buckets only (a bounded number per member); the members of large ones are
+   compared block against block inside tasks, which return links.
 5. Components by large-star and small-star; a document's component is its least doc_id.
 
 Defined cases: null and word-less texts have the empty set and stay alone; fewer words than a
@@ -36,6 +38,10 @@ BANDS, ROWS = 36, 6
 MARGIN = 0.15
 #: Members that are sent past one copy of a pivot's set.
 PIVOT_SHARE = 512
+#: Undecided buckets of up to so many members list their pairs; the members of larger ones are compared in blocks.
+LISTED = 32
+#: Members of a block.
+CHUNK = 256
 #: Fixed random masks: the orders in which pivots are the first of their bucket.
 ORDERS = [0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D]
 
@@ -203,6 +209,69 @@ def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int)
     return rows.select("cid", "text").mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
 
 
+def _crowds(undecided: DataFrame) -> DataFrame:
+    """``(cid, root, crowd, n)``: members of large undecided buckets; buckets that share a member are one crowd."""
+    roots = components(undecided.select(F.col("cid").alias("u"), F.col("pivot").alias("v")))
+    members = undecided.select("cid", "root").distinct().join(
+        roots.select(F.col("node").alias("cid"), F.col("root").alias("crowd")), "cid"
+    )
+    return members.join(members.groupBy("crowd").agg(F.count("*").alias("n")), "crowd")
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int, least: float) -> DataFrame:
+    """Links between different components of a crowd, found block against block.
+
+    A crowd is dealt to chunks of ``CHUNK`` members; a task holds two chunks, compares signatures,
+    confirms what is alike on the full sets, and returns links only. No pair is listed.
+    """
+    dealt = crowds.withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    spread = dealt.select("crowd", "cid", "root", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    rows = (
+        spread.select("crowd", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cid", "root")
+        .join(classes.select("cid", "sig"), "cid").join(sets, "cid")
+        .select("crowd", "i", "j", "chunk", "cid", "root", "sig", "hashes")
+    )
+    ordered = rows.repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "chunk", "cid")
+
+    def compare(block: list[tuple]) -> list[tuple[int, int]]:
+        sigs = np.frombuffer(b"".join(x[4] for x in block), np.uint8).reshape(len(block), -1)
+        chunk, root = np.array([x[1] for x in block]), np.array([x[3] for x in block])
+        held = [np.frombuffer(x[5], np.uint64) for x in block]
+        sizes = np.array([len(x) for x in held])
+        same_chunk = block[0][0][1] == block[0][0][2]
+        out = []
+        for at in range(len(block) - 1):
+            later = slice(at + 1, len(block))
+            near = (root[later] != root[at]) & (100 * np.minimum(sizes[later], sizes[at]) >= threshold * np.maximum(sizes[later], sizes[at]))
+            if not same_chunk:
+                near &= chunk[later] != chunk[at]
+            found = np.flatnonzero(near) + at + 1
+            if len(found):
+                found = found[(sigs[found] == sigs[at]).mean(axis=1) >= least]
+            for k in found.tolist():
+                where = np.searchsorted(held[at], held[k])
+                where[where == sizes[at]] = 0
+                common = int((held[at][where] == held[k]).sum())
+                if 100 * common >= threshold * (int(sizes[at] + sizes[k]) - common):
+                    out.append((block[at][2], block[k][2]))
+        return out
+
+    def run(batches):
+        key, block = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "i", "j", "chunk", "cid", "root", "sig", "hashes")), strict=True):
+                if row[:3] != key:
+                    out += compare(block) if block else []
+                    key, block = row[:3], []
+                block.append((key, *row[3:]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out = compare(block) if block else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
     text: str = "text",
@@ -241,27 +310,32 @@ def near_duplicates(
 
     # Buckets that hold several components: what is outside the largest meets the other components.
     placed = members.join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").select(
-        "key", "cid", F.coalesce("root", "cid").alias("root")
+        "key", "pivot", "cid", F.coalesce("root", "cid").alias("root")
     )
     placed = cut(placed, "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     open_buckets = parts.groupBy("key").agg(
         F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("roots")
-    ).where("roots > 1 AND members > 2").select("key", F.col("top.root").alias("main"))
-    undecided = placed.join(open_buckets, "key")
-    outside = undecided.where("root <> main").select("key", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-    rest = undecided.select("key", F.col("cid").alias("b"), "root", "main")
+    ).where("roots > 1 AND members > 2").select("key", F.col("top.root").alias("main"), "members")
+    undecided = cut(placed.join(open_buckets, "key"), "undecided")
+    small = undecided.where(F.col("members") <= LISTED)
+    outside = small.where("root <> main").select("key", F.col("cid").alias("a"), F.col("root").alias("root_a"))
+    rest = small.select("key", F.col("cid").alias("b"), "root", "main")
     more = (
         outside.join(rest, "key").where("root <> root_a AND (root = main OR a < b)")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(_alike(more.join(known, ["a", "b"], "left_anti"), classes, least), "more_pairs")
+    crowds = cut(_crowds(undecided.where(F.col("members") > LISTED)), "crowds")
+    lacking = more.select(F.col("a").alias("cid")).unionAll(more.select(F.col("b").alias("cid"))).unionAll(crowds.select("cid")).distinct()
+    lacking = lacking.join(sets.select("cid"), "cid", "left_anti")
+    if not lacking.isEmpty():
+        sets = sets.unionAll(cut(_sets_of(texts, classes, lacking, size), "sets"))
     if not more.isEmpty():
-        lacking = more.select(F.col("a").alias("cid")).unionAll(more.select(F.col("b").alias("cid"))).distinct()
-        new_sets = _sets_of(texts, classes, lacking.join(sets.select("cid"), "cid", "left_anti"), size)
-        sets = sets.unionAll(cut(new_sets, "sets"))
         links = links.unionAll(cut(_confirmed(more, sets, threshold), "links"))
+    if not crowds.isEmpty():
+        links = links.unionAll(cut(_crowd_links(crowds, sets, classes, threshold, least), "links"))
     found = components(
         found.select(F.col("node").alias("u"), F.col("root").alias("v"))
         .unionAll(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
