@@ -59,7 +59,6 @@ def profile(df: DataFrame, top: int = 3, quantiles: tuple[float, ...] = ()) -> D
     seen = F.col("value").isNotNull()
     total_x = F.sum(F.when(F.col("x").isNotNull(), F.col("n")))
     mean = F.sum(F.col("x") * F.col("n")) / total_x
-    square = F.sum(F.col("x") * F.col("x") * F.col("n"))
     stats = valued.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(~seen, F.col("n"))), F.lit(0)).alias("nulls"),
@@ -69,8 +68,12 @@ def profile(df: DataFrame, top: int = 3, quantiles: tuple[float, ...] = ()) -> D
         F.min("x").alias("min_number"),
         F.max("x").alias("max_number"),
         mean.alias("mean"),
-        F.when(total_x > 1, F.sqrt(F.greatest(F.lit(0.0), (square - mean * mean * total_x) / (total_x - 1)))).alias("std"),
+        total_x.alias("_total"),
     )
+    # deviations from the mean itself: a sum of squares loses them where the mean is large
+    gap = F.col("x") - F.col("_mean")
+    spread = valued.join(stats.select("column", F.col("mean").alias("_mean")), "column").groupBy("column").agg(F.sum(gap * gap * F.col("n")).alias("_gaps"))
+    stats = stats.join(spread, "column").withColumn("std", F.when(F.col("_total") > 1, F.sqrt(F.col("_gaps") / (F.col("_total") - 1)))).drop("_total", "_gaps")
     if quantiles:
         share = F.percentile_approx("x", list(quantiles)).alias("quantiles")
         stats = stats.join(long.withColumn("x", number).groupBy("column").agg(share), "column")

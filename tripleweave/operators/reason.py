@@ -42,9 +42,9 @@ def _derive(new: DataFrame, known: DataFrame) -> list[DataFrame]:
     both(lambda a, b: _triple(a.join(_where(b, DOMAIN, "p", "c"), "p"), "s", type_, "c"))
     both(lambda a, b: _triple(a.where("NOT startswith(o, '\"')").join(_where(b, RANGE, "p", "c"), "p"), "o", type_, "c"))
     # Property characteristics.
-    both(lambda a, b: _triple(a.join(_where(b, INVERSE_OF, "p", "q"), "p"), "o", "q", "s"))
-    both(lambda a, b: _triple(a.join(_where(b, INVERSE_OF, "q", "p"), "p"), "o", "q", "s"))
-    both(lambda a, b: _triple(a.join(_typed(b, "SymmetricProperty"), "p"), "o", "p", "s"))
+    both(lambda a, b: _triple(a.where("NOT startswith(o, '\"')").join(_where(b, INVERSE_OF, "p", "q"), "p"), "o", "q", "s"))
+    both(lambda a, b: _triple(a.where("NOT startswith(o, '\"')").join(_where(b, INVERSE_OF, "q", "p"), "p"), "o", "q", "s"))
+    both(lambda a, b: _triple(a.where("NOT startswith(o, '\"')").join(_typed(b, "SymmetricProperty"), "p"), "o", "p", "s"))
     step = lambda t: t.select(F.col("p").alias("_p"), F.col("s").alias("y"), F.col("o").alias("z"))
     trans = _typed(known, "TransitiveProperty")
     both(lambda a, b: _triple(a.join(trans, "p").join(step(b), F.expr("o = y AND p = _p")), "s", "p", "z"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,23 +40,6 @@ def cut(df: DataFrame, label: str = "state") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(
-    state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    done: Callable[[DataFrame, DataFrame], bool],
-    label: str,
-    max_rounds: int = 1000,
-) -> DataFrame:
-    """Apply ``step`` until ``done(old, new)``; every round's result is a written table."""
-    state = cut(state, label)
-    for _ in range(max_rounds):
-        new = cut(step(state), label)
-        if done(state, new):
-            return new
-        state = new
-    raise RuntimeError(f"{label}: no fixpoint after {max_rounds} rounds")
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of every row in a total order, without a one-task window.
 

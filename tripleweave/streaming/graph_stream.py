@@ -23,7 +23,7 @@ def stream_graph(spark: SparkSession, source: str, target: str, checkpoint: str,
         nodes.drop("display").write.mode("overwrite").parquet(f"{target}/nodes/batch={batch_id}")
         links.write.mode("overwrite").parquet(f"{target}/links/batch={batch_id}")
 
-    stream = spark.readStream.schema(TRIPLE).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(TRIPLE).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="15 seconds")
     return writer.start()
