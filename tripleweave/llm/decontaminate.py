@@ -196,6 +196,13 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _plain(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Only what a scan reads, whatever other columns are called; a slice stays one slice."""
+    return pa.RecordBatch.from_arrays(
+        [part.column("text"), part.column("doc_id"), pa.array([0] * part.num_rows, pa.int64())], names=["text", "doc_id", "row"]
+    )
+
+
 def _span_cutter(items, n):
     scan = _scanner(items, n)
     import regex
@@ -204,8 +211,7 @@ def _span_cutter(items, n):
 
     def run(batches):
         for part in slices(batches, "text"):
-            both = part.append_column("row", pa.array([0] * part.num_rows, pa.int64()))
-            hits = pa.Table.from_batches(list(scan(iter([both])))).column("hits").to_pylist()
+            hits = next(scan(iter([_plain(part)]))).column("hits").to_pylist()
             texts = []
             for text, spans in zip(part.column("text").to_pylist(), hits, strict=True):
                 if spans:
@@ -240,12 +246,7 @@ def decontaminate(
 
     def run(batches):
         for part in slices(batches, "text"):
-            names = part.schema.names
-            plain = pa.RecordBatch.from_arrays(
-                [part.column(names.index("text")), part.column(names.index("doc_id")), pa.array([0] * part.num_rows, pa.int64())],
-                names=["text", "doc_id", "row"],
-            )
-            found = next(scan(iter([plain]))).to_pydict()
+            found = next(scan(iter([_plain(part)]))).to_pydict()
             keep = [
                 sum(s["past"] - s["first"] for s in hits) <= max_hit_share * words
                 for hits, words in zip(found["hits"], found["n_words"], strict=True)
