@@ -13,6 +13,25 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns that clash with names used inside."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(20000))
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, base, "a"), (2, base, "a"), (2, base, "a"), (3, base + " more", None), (4, None, "b"), (5, "", "b"),
+        (None, base, "c"), (6, long, "c"), (7, "x", "c"), (8, "first line here\nfirst line here\n\nother", "c"), (None, None, None),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "*", "'q' AS key", "1 AS row", "2 AS n", "'z' AS lid", "'z' AS item", "3 AS kept", "4L AS n_chars"
+    )
+
+
+@pytest.fixture(scope="session")
+def none(odd):
+    return odd.limit(0)
+
+
 def by_id(df):
     out = {}
     for r in df.collect():
