@@ -164,3 +164,42 @@ def test_pii(spark, odd, none):
     assert len(r[1]) == 2 and (r[1][0]["n_email"], r[1][0]["n_ip"], r[1][0]["n_card"], r[1][0]["n_phone"]) == (2, 2, 1, 1)
     assert r[2][0]["spans"] == "" and r[2][0]["base_sha256"] == EMPTY
     assert pii.digest(pii.find_pii(odd)).count() == odd.count() and pii.digest(pii.find_pii(none)).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(120)]
+    # one crowd of variants of a line, each with its own word; they link with one another, through chains or not at all
+    for _ in range(90):
+        parts = lines[0].split()
+        for _ in range(rng.randint(1, 3)):
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+        lines.append(" ".join(parts))
+    texts = [(i, "\n".join(rng.choice(lines).replace(" ", rng.choice([" ", "  "])) for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    at = {}
+    for i, t in texts:
+        for k, x in enumerate(line_dedup.norm_lines(t)):
+            at.setdefault(x, []).append((i, k))
+    names = list(at)
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in names]
+    root = list(range(len(names)))
+    for a in range(len(names)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    groups = {}
+    for x, r in zip(names, root, strict=True):
+        groups.setdefault(r, []).extend(at[x])
+    gone = {p for g in groups.values() for p in sorted(g)[1:]}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(docs).collect()} == gone
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts}
+
+
+def test_lines_of_a_crowd_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LISTED", 2)
+    test_line_dedup_equals_brute_force(spark)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             continue
         column = batch.column(batch.schema.names.index(text))
         sizes = column.cast(pa.large_string()).cast(pa.large_binary()) if pa.types.is_string(column.type) else column
-        ends = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(sizes).to_pylist()])
+        ends = np.cumsum([0 if n is None else n for n in pc.binary_length(sizes).to_pylist()])
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

@@ -21,7 +21,7 @@ doc_id takes part, and a component of such rows alone has the component null. At
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ class _Words(dict):
         return value
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9FB21C651E98DF25)
     h ^= h >> np.uint64(28)
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[str | None], size: int, words: _Words) -> list[np.n
         for k in range(size):
             rolled *= factors[k]
             rolled += flat[k : len(flat) - size + 1 + k]
-        rolled = _mix(rolled)
+        rolled = mix(rolled)
         for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
             if n >= size:
                 out.append(np.unique(rolled[end - n : end - size + 1]))
@@ -86,7 +86,7 @@ def shingle_sets(texts: list[str | None], size: int, words: _Words) -> list[np.n
                 h = np.full(1, n, dtype=np.uint64)
                 for w in flat[end - n : end]:
                     h = h * factors[1] + w
-                out.append(_mix(h))
+                out.append(mix(h))
             else:
                 out.append(np.empty(0, dtype=np.uint64))
     return out
@@ -118,10 +118,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for j in range(bands * rows):
                         minima[full, j] = np.minimum.reduceat((flat * a[j] + b[j]) >> np.uint64(32), starts)
-                    cids[full] = np.add.reduceat(_mix(flat * np.uint64(0xC2B2AE3D27D4EB4F)), starts)
+                    cids[full] = np.add.reduceat(mix(flat * np.uint64(0xC2B2AE3D27D4EB4F)), starts)
                     keys = np.zeros((len(sets), bands), dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
-                        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::rows])
+                        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::rows])
             else:
                 keys = np.zeros((len(sets), bands), dtype=np.uint64)
             low = minima.astype(np.uint8)
@@ -158,8 +158,12 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs with 100 * intersection >= threshold * union of the full sets.
+def packed(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in raw]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, as_sets: Callable[[list[bytes]], list[np.ndarray]] = packed) -> DataFrame:
+    """Pairs with 100 * intersection >= threshold * union of the full sets, which ``as_sets`` makes from ``hashes``.
 
     The members of a pivot are dealt to shares; the pivot's set is sent once to each share and held
     while the members' sets stream past it.
@@ -178,8 +182,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
                 out = []
-                for a, b, raw in zip(*(part.column(c).to_pylist() for c in ("a", "b", "hashes")), strict=True):
-                    mine = np.frombuffer(raw, np.uint64)
+                sets_here = as_sets(part.column("hashes").to_pylist())
+                for a, b, mine in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets_here, strict=True):
                     if b is None:
                         pivot, held = a, mine
                     elif a == pivot:
@@ -209,7 +213,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int)
     return rows.select("cid", "text").mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"])
 
 
-def _crowds(undecided: DataFrame) -> DataFrame:
+def crowds_of(undecided: DataFrame) -> DataFrame:
     """``(cid, root, crowd, n)``: members of large undecided buckets; buckets that share a member are one crowd."""
     roots = components(undecided.select(F.col("cid").alias("u"), F.col("pivot").alias("v")))
     members = undecided.select("cid", "root").distinct().join(
@@ -218,7 +222,9 @@ def _crowds(undecided: DataFrame) -> DataFrame:
     return members.join(members.groupBy("crowd").agg(F.count("*").alias("n")), "crowd")
 
 
-def _crowd_links(crowds: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int, least: float) -> DataFrame:
+def crowd_links(
+    crowds: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int, least: float, as_sets: Callable[[list[bytes]], list[np.ndarray]] = packed
+) -> DataFrame:
     """Links between different components of a crowd, found block against block.
 
     A crowd is dealt to chunks of ``CHUNK`` members; a task holds two chunks, compares signatures,
@@ -236,7 +242,7 @@ def _crowd_links(crowds: DataFrame, sets: DataFrame, classes: DataFrame, thresho
     def compare(block: list[tuple]) -> list[tuple[int, int]]:
         sigs = np.frombuffer(b"".join(x[4] for x in block), np.uint8).reshape(len(block), -1)
         chunk, root = np.array([x[1] for x in block]), np.array([x[3] for x in block])
-        held = [np.frombuffer(x[5], np.uint64) for x in block]
+        held = as_sets([x[5] for x in block])
         sizes = np.array([len(x) for x in held])
         same_chunk = block[0][0][1] == block[0][0][2]
         out = []
@@ -301,7 +307,7 @@ def near_duplicates(
     pairs = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = cut(_alike(pairs, classes, least), "pairs")
     sets = cut(_sets_of(texts, classes, pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))), size), "sets")
-    links = cut(_confirmed(pairs, sets, threshold), "links")
+    links = cut(confirmed(pairs, sets, threshold), "links")
     same_id = (
         signed.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v"), F.collect_set("cid").alias("s"))
         .where("u <> v").select("u", F.explode("s").alias("v"))
@@ -327,15 +333,15 @@ def near_duplicates(
     )
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(_alike(more.join(known, ["a", "b"], "left_anti"), classes, least), "more_pairs")
-    crowds = cut(_crowds(undecided.where(F.col("members") > LISTED)), "crowds")
+    crowds = cut(crowds_of(undecided.where(F.col("members") > LISTED)), "crowds")
     lacking = more.select(F.col("a").alias("cid")).unionAll(more.select(F.col("b").alias("cid"))).unionAll(crowds.select("cid")).distinct()
     lacking = lacking.join(sets.select("cid"), "cid", "left_anti")
     if not lacking.isEmpty():
         sets = sets.unionAll(cut(_sets_of(texts, classes, lacking, size), "sets"))
     if not more.isEmpty():
-        links = links.unionAll(cut(_confirmed(more, sets, threshold), "links"))
+        links = links.unionAll(cut(confirmed(more, sets, threshold), "links"))
     if not crowds.isEmpty():
-        links = links.unionAll(cut(_crowd_links(crowds, sets, classes, threshold, least), "links"))
+        links = links.unionAll(cut(crowd_links(crowds, sets, classes, threshold, least), "links"))
     found = components(
         found.select(F.col("node").alias("u"), F.col("root").alias("v"))
         .unionAll(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
