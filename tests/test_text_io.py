@@ -158,6 +158,26 @@ def test_spots_prefer_longer_and_do_not_overlap(spark):
     assert got == [(0, 3, "new"), (4, 14, "york city hall"), (22, 8, "new york")]
 
 
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,town\n1,München\n".encode())
+    (tmp_path / "b.csv").write_bytes("id,town\n2,Köln\n".encode("latin-1"))
+    assert sorted(rows(rd.read_records(spark, str(tmp_path)))) == [("1", "München"), ("2", "Köln")]
+
+
+def test_long_labels_names_and_surfaces_are_found(spark):
+    label = "beta gamma delta epsilon zeta eta theta"
+    toks = tokens(spark, f"a {label} of Bob")
+    merged, rel = mn.merge_over_stopwords(mn.chunk_compounds(toks), toks, spark.createDataFrame([(label,)], "label string"))
+    assert [r["phrase"] for r in rel.collect()] == [label] and [c for _, c in chunk_texts(merged)] == ["Bob"]
+    chunks = mn.chunk_compounds(tokens(spark, "the Anna Maria von der Leyen speech", verbs=["speech"]))
+    split, _ = mn.split_on_person(chunks, spark.createDataFrame([("anna maria von der leyen",)], "n string"))
+    assert "Anna Maria von der Leyen" in [c for _, c in chunk_texts(split)]
+    texts = spark.createDataFrame([(1, "x one two three four five six y")], "doc_id int, text string")
+    spots = lk.spot_mentions(texts, spark.createDataFrame([("one two three four five six",)], "surface string")).collect()
+    assert [(r["start"], r["length"]) for r in spots] == [(2, 27)]
+    assert lk.spot_mentions(texts, spark.createDataFrame([], "surface string")).count() == 0
+
+
 def test_evaluate_matches(spark):
     pred = spark.createDataFrame([(1, 1, 0.9), (2, 2, 0.8), (3, 1, 0.7), (4, 9, 0.6)], "id_1 int, id_2 int, score double")
     truth = spark.createDataFrame([(1, 1), (2, 2), (5, 5)], "id_1 int, id_2 int")

@@ -109,22 +109,24 @@ def extended_qgrams_blocking(
     return drop_idle(per_word.join(keys, "_word").select(*BLOCK_COLUMNS).distinct(), clean_clean)
 
 
-def _size_limited(blocks: DataFrame, max_block_size: int, clean_clean: bool) -> DataFrame:
+def _size_limited(blocks: DataFrame, max_block_size: int | None, clean_clean: bool) -> DataFrame:
+    if max_block_size is None:
+        return blocks.select(*BLOCK_COLUMNS)
     fitting = block_sizes(blocks, clean_clean).where(F.col("size") <= max_block_size)
     return blocks.join(fitting.select("block_key"), "block_key", "left_semi").select(*BLOCK_COLUMNS)
 
 
 def suffix_arrays_blocking(
-    texts: DataFrame, suffix_length: int = 6, max_block_size: int = 53, clean_clean: bool = False
+    texts: DataFrame, suffix_length: int = 6, max_block_size: int | None = None, clean_clean: bool = False
 ) -> DataFrame:
-    """Blocks on word suffixes; the size limit is part of the method's definition."""
+    """Blocks on word suffixes; larger blocks go only if a caller names a size."""
     return _size_limited(_token_keys(texts, lambda t: tx.suffixes(t, suffix_length)), max_block_size, clean_clean)
 
 
 def extended_suffix_arrays_blocking(
-    texts: DataFrame, suffix_length: int = 6, max_block_size: int = 39, clean_clean: bool = False
+    texts: DataFrame, suffix_length: int = 6, max_block_size: int | None = None, clean_clean: bool = False
 ) -> DataFrame:
-    """Blocks on all word substrings of at least the given length."""
+    """Blocks on all word substrings of at least the given length; larger blocks go only if a caller names a size."""
     return _size_limited(_token_keys(texts, lambda t: tx.substrings(t, suffix_length)), max_block_size, clean_clean)
 
 

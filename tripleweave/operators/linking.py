@@ -146,12 +146,14 @@ def _tokens_with_offsets(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(with_offsets).alias("pos", "x")).select("doc_id", "pos", "x.token", "x.start")
 
 
-def spot_mentions(texts: DataFrame, surfaces: DataFrame, n: int = 5) -> DataFrame:
+def spot_mentions(texts: DataFrame, surfaces: DataFrame, n: int | None = None) -> DataFrame:
     """``(doc_id, start, length, surface)``: word n-grams that are known surface forms.
 
     Of overlapping ones the longer, then the earlier stays. N-grams of a text are built from
-    its own words by window offsets; the dictionary is met by an equi-join.
+    its own words by window offsets, up to the words of the longest surface form unless ``n`` is
+    given; the dictionary is met by an equi-join.
     """
+    n = n or surfaces.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     toks = _tokens_with_offsets(texts)
     here = Window.partitionBy("doc_id").orderBy("pos")
     grams = None
@@ -209,7 +211,7 @@ def disambiguate(mentions: DataFrame, priors: DataFrame, texts: DataFrame, entit
     return best.select("doc_id", "start", "length", "surface", "_b.entity", "_b.score")
 
 
-def annotate(texts: DataFrame, anchors: DataFrame, entity_texts: DataFrame, confidence: float = 0.5, spans: DataFrame | None = None, n: int = 5) -> DataFrame:
+def annotate(texts: DataFrame, anchors: DataFrame, entity_texts: DataFrame, confidence: float = 0.5, spans: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Annotations with offsets: spotted (or given) mentions, linked, above the confidence."""
     priors = commonness(anchors)
     mentions = spot_mentions(texts, priors, n) if spans is None else spans

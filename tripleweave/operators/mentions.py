@@ -125,15 +125,22 @@ def _norm(col: Column | str) -> Column:
     return F.lower(F.trim(F.col(col) if isinstance(col, str) else col))
 
 
-def merge_over_stopwords(chunks: DataFrame, tokens: DataFrame, property_labels: DataFrame, max_gap: int = 2, max_label_words: int = 6) -> tuple[DataFrame, DataFrame]:
+def most_words(table: DataFrame, col: str) -> int:
+    """Words of the longest entry of a dictionary, 1 at least."""
+    return table.agg(F.max(F.size(F.split(F.col(col), r"\s+")))).first()[0] or 1
+
+
+def merge_over_stopwords(chunks: DataFrame, tokens: DataFrame, property_labels: DataFrame, max_gap: int = 2) -> tuple[DataFrame, DataFrame]:
     """Neighbours with at most two plain stop words between become one chunk.
 
     Not across "is" or a verb, and across "and" only between single words. A chunk that is a
     property label leaves as a relation phrase; so does the chunk merged with its neighbour if
     that is a label. The scan over the chunks of a text is one fold over their array; the
-    labels met by any run of chunks are found beforehand by an equi-join.
+    labels met by any run of chunks are found beforehand by an equi-join. Runs are as long as the
+    longest label.
     """
     labels = property_labels.toDF("_label").select(_norm("_label").alias("_label")).distinct()
+    longest = most_words(labels, "_label")
     text = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "lower", "is_stop", "is_verb"))).alias("toks"))
     listed = chunks.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.size("words").alias("n")))).alias("cs")
@@ -156,7 +163,7 @@ def merge_over_stopwords(chunks: DataFrame, tokens: DataFrame, property_labels:
     # Runs of neighbouring chunks short enough to be a label.
     runs = listed.select("doc_id", "toks", F.col("cs").alias("_cs"), F.posexplode("cs").alias("i", "c")).select(
         "doc_id", "toks", F.col("c.start").alias("start"),
-        F.explode(F.filter(F.slice("_cs", F.col("i") + 1, max_label_words), lambda d: d["end"] - F.col("c.start") < max_label_words)).alias("d"),
+        F.explode(F.filter(F.slice("_cs", F.col("i") + 1, longest), lambda d: d["end"] - F.col("c.start") < longest)).alias("d"),
     )
     run_text = F.array_join(F.transform(F.slice("toks", F.col("start") + 1, F.col("d.end") - F.col("start") + 1), lambda w: w["lower"]), " ")
     known = runs.select("doc_id", "start", F.col("d.end").alias("end"), run_text.alias("_label")).join(labels, "_label", "left_semi")
@@ -219,7 +226,7 @@ def capitalise(col: Column) -> Column:
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))
 
 
-def split_on_person(chunks: DataFrame, names: DataFrame, max_words: int = 4) -> tuple[DataFrame, DataFrame]:
+def split_on_person(chunks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known persons, extended by neighbouring capitalised words, become chunks of their own.
 
     What is left of such a chunk is a chunk too and also a relation phrase. The longest,
@@ -228,7 +235,7 @@ def split_on_person(chunks: DataFrame, names: DataFrame, max_words: int = 4) ->
     known = names.toDF("_name").select(F.lower("_name").alias("_name")).distinct()
     word_list = F.transform("words", lambda w: w["token"])
     grams = chunks.select("doc_id", "chunk_no", word_list.alias("ws"), F.posexplode("words").alias("i", "_w")).select(
-        "doc_id", "chunk_no", "i", "ws", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("n")
+        "doc_id", "chunk_no", "i", "ws", F.explode(F.sequence(F.lit(1), F.lit(most_words(known, "_name")))).alias("n")
     ).where("i + n <= size(ws)")
     hits = grams.withColumn("_name", F.lower(F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " "))).join(known, "_name", "left_semi")
     best = hits.groupBy("doc_id", "chunk_no").agg(F.min(F.struct((-F.col("n")).alias("k"), "i", "n")).alias("_b")).select(

@@ -19,21 +19,27 @@ def read_records(
 ) -> DataFrame:
     """Header CSV, every column a string, blanks kept as ``''``.
 
-    Without an explicit encoding the file is taken as UTF-8 unless that yields replacement
-    characters, in which case it is read as ISO-8859-1. ``multi_line`` allows line breaks in
-    quotes, at the price of one task per file.
+    Without an explicit encoding each file is taken as UTF-8 unless that yields replacement
+    characters, in which case this file is read as ISO-8859-1. ``multi_line`` allows line breaks
+    in quotes, at the price of one task per file.
     """
 
     def load(enc: str) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", enc)
         reader = reader.option("inferSchema", False).option("nullValue", NO_NULL).option("escape", '"')
-        return reader.option("multiLine", multi_line).csv(path).na.fill("")
+        return reader.option("multiLine", multi_line).csv(path)
 
     if encoding:
-        return load(encoding)
-    df = load("UTF-8")
+        return load(encoding).na.fill("")
+    df, latin = load("UTF-8"), load("ISO-8859-1")
     broken = " or ".join(f"contains(`{c}`, '�')" for c in df.columns)
-    return df if df.where(broken).isEmpty() else load("ISO-8859-1")
+    names = [b if "�" in a else a for a, b in zip(df.columns, latin.columns, strict=True)]
+    files = df.where(broken).select(F.col("_metadata.file_path").alias("_file")).distinct()
+    if names == df.columns and files.isEmpty():
+        return df.na.fill("")
+    well = df.withColumn("_file", F.col("_metadata.file_path")).join(files, "_file", "left_anti")
+    other = latin.withColumn("_file", F.col("_metadata.file_path")).join(files, "_file", "left_semi")
+    return well.drop("_file").toDF(*names).unionAll(other.drop("_file").toDF(*names)).na.fill("")
 
 
 def spread(df: DataFrame) -> DataFrame:
