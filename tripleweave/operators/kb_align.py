@@ -16,6 +16,10 @@ from tripleweave.functions import text as tx
 from tripleweave.plans.rounds import cut
 
 INVERSE = "^-1"
+#: Facts that lead to more candidates than this are looked up before they are expanded; the selection stays the same.
+HEAVY_DEGREE = 64
+#: Rounds after which an alignment that should settle is taken to be stuck.
+ROUND_LIMIT = 100
 
 
 def node(value: Column, is_literal: Column) -> Column:
@@ -258,13 +262,14 @@ def _settled(found: DataFrame) -> DataFrame:
 
 
 def search_evidence(
-    f1: DataFrame, f2: DataFrame, matches: DataFrame, quasi: DataFrame, gram_n: int = 100, heavy_degree: int | None = 64
+    f1: DataFrame, f2: DataFrame, matches: DataFrame, quasi: DataFrame, gram_n: int | None = None, heavy_degree: int | None = None
 ) -> DataFrame:
     """Pairs of agreeing facts ``(o1, q1, s1)`` and ``(o2, q2, s2)`` per candidate pair.
 
-    An entity of KB 1 uses its ``gram_n`` most informative facts, those with the best
-    ``least(object match, predicate match)``; per fact a candidate counts once.
+    An entity of KB 1 uses all its facts, ranked by ``least(object match, predicate match)``, or
+    the first ``gram_n`` if a caller says so; per fact a candidate counts once.
 
+    With ``heavy_degree`` the table holds what ``select_candidates`` needs, but not every pair.
     Facts that lead to more than ``heavy_degree`` candidates are not expanded at first: the
     candidates come from the other facts and the heavy ones are only looked up for them. A
     candidate with heavy evidence alone has at most as many pieces of it as the entity has
@@ -279,8 +284,8 @@ def search_evidence(
         .join(best_o, "o1").join(best_q, "q1")
     )
     order = Window.partitionBy("s1").orderBy(F.desc(F.least("_mo", "_mq")), "q1", "o1")
-    used = facts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= gram_n).select("o1", "q1", "s1", "rank")
-    used = cut(used, "used")
+    used = facts.withColumn("rank", F.row_number().over(order)).select("o1", "q1", "s1", "rank")
+    used = cut(used if gram_n is None else used.where(F.col("rank") <= gram_n), "used")
 
     # Which facts of KB 2 a fact may go with depends on their subject and predicate only.
     m = matches.select(F.col("e1").alias("o1"), F.col("e2").alias("o2"), F.col("score").alias("m"))
@@ -326,7 +331,7 @@ def _lookup(facts: DataFrame, prefixes: DataFrame, side: int) -> DataFrame:
 
 
 def apply_rules(
-    selected: DataFrame, f1: DataFrame, f2: DataFrame, functionalities: DataFrame, pair_functionalities: DataFrame, max_prefix: int = 20
+    selected: DataFrame, f1: DataFrame, f2: DataFrame, functionalities: DataFrame, pair_functionalities: DataFrame, max_prefix: int | None = None
 ) -> DataFrame:
     """``(e1, e2, score)``: the best score over the prefixes of a candidate's evidence list.
 
@@ -336,9 +341,11 @@ def apply_rules(
     """
     order = F.struct((-F.least("m", "q")).alias("w"), "rank", "o2", "q2", "o1", "q1", "m", "q")
     lists = selected.groupBy("s1", "s2", "max_n").agg(F.array_sort(F.collect_list(order)).alias("ev"))
-    # The evidence list is bounded by gram_n, a prefix by max_prefix.
+    longest = F.least(F.col("max_n").cast("int"), F.size("ev"))
+    if max_prefix is not None:
+        longest = F.least(F.lit(max_prefix), longest)
     prefixes = lists.select(
-        "s1", "s2", "ev", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_prefix), F.col("max_n").cast("int"), F.size("ev")))).alias("n")
+        "s1", "s2", "ev", F.explode(F.sequence(F.lit(1), longest)).alias("n")
     ).select("s1", "s2", "n", F.slice("ev", 1, F.col("n")).alias("ev"))
 
     def pattern(name: str) -> Column:
@@ -423,14 +430,15 @@ def align_kbs(
     alpha: float = 3.0,
     init: float = 0.7,
     default: float = 0.1,
-    gram_n: int = 100,
+    gram_n: int | None = None,
     epsilon: float = 0.1,
-    max_iter: int = 100,
+    max_iter: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Matches and predicate subsumption of two knowledge bases, iterated until they settle.
 
     Every round writes its matches and predicate scores to the shared folder; the only values
-    that come to the driver are the score sums of the stop test.
+    that come to the driver are the score sums of the stop test. It ends after ``max_iter``
+    rounds if a caller says so, and raises if it does not settle otherwise.
     """
     f1, f2 = cut(f1, "facts"), cut(f2, "facts")
     fun = cut(merge_functionality(functionality(f1), functionality(f2), ["p"]), "functionality")
@@ -443,8 +451,8 @@ def align_kbs(
     quasi = cut(quasi_equivalence(sub, f1, f2), "quasi")
     total = lambda d: d.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
     before = total(matches)
-    for _ in range(max_iter):
-        evidence = search_evidence(f1, f2, matches, quasi, gram_n)
+    for _ in range(ROUND_LIMIT if max_iter is None else max_iter):
+        evidence = search_evidence(f1, f2, matches, quasi, gram_n, HEAVY_DEGREE)
         new = apply_rules(select_candidates(cut(evidence, "evidence"), matches), f1, f2, fun, pairs)
         scores = cut(guarded_merge(scores, new, matches), "scores")
         matches = cut(bilateral_max(scores), "matches")
@@ -454,4 +462,7 @@ def align_kbs(
         if abs(after - before) < epsilon:
             break
         before = after
+    else:
+        if max_iter is None:
+            raise RuntimeError("align_kbs: scores still moving after ROUND_LIMIT rounds")
     return matches, sub
