@@ -105,6 +105,19 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(odd).columns == odd.columns and line_dedup.digest(none).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(None, "A\nB"), (None, "C\nA"), (None, None), (7, "D\nE"), (7, "F\nD"), (7, "F\nD"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = by_id(line_dedup.dedup_lines(docs))
+    lines = {i: sorted(x for r in left[i] for x in (r["text"] or "").split("\n") if x) for i in left}
+    assert lines[None] == ["A", "B", "C"] and [r["text"] for v in left.values() for r in v].count(None) == 2
+    assert lines[7] in (["D", "E", "F", "F"], ["D", "D", "E", "F", "F"]) and sum(len(v) for v in left.values()) == len(rows)
+    counts = by_id(line_dedup.digest(docs))
+    assert sorted((r["n_lines"], r["n_removed"]) for r in counts[None]) == [(0, 0), (2, 0), (2, 1)]
+    # equal rows of one id are one document: what stays in one stays in both
+    assert sorted((r["n_lines"], r["n_removed"]) for r in counts[7]) in ([(0, 0), (2, 0), (2, 1), (2, 1)], [(0, 0), (2, 0), (2, 0), (2, 1)])
+
+
 def test_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (4, 1), (6, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     scores = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
