@@ -150,6 +150,31 @@ def test_merged_transforms_give_the_intervals_of_a_full_sort():
     assert [list(x) for x in found] == [[least[s[i : i + 6]] for i in range(len(s) - 5)] for s in strings]
 
 
+def test_a_phrase_in_many_contexts_is_merged_in_bounded_collections(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    around = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(70)) for _ in range(24)]
+    phrase = "a phrase of some forty bytes, found often"
+    texts = [rng.choice(around)[rng.randint(0, 9) :] + phrase + rng.choice(around)[: rng.randint(40, 70)] for _ in range(240)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        windows = [t[k : k + 50] for k in range(len(t) - 49)]
+        gone = {p for k, w in enumerate(windows) if w in seen for p in range(k, k + 50)}
+        want[i] = "".join(c for p, c in enumerate(t) if p not in gone)
+        seen.update(windows)
+    limit, merge = 2000, repeats.least_owners
+
+    def bounded(strings, owners, length):
+        assert sum(map(len, strings)) < 3 * limit
+        return merge(strings, owners, length)
+
+    monkeypatch.setattr(repeats, "COLLECTION_BYTES", limit)
+    monkeypatch.setattr(repeats, "least_owners", bounded)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs).collect()} == want
+
+
 @pytest.mark.parametrize("text", ["", None, "a" * 3000, "é" * 50 + " the  the\n\n", "it's  42 naïve…"])
 def test_bpe_equals_the_library(text):
     import base64
