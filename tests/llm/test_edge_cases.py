@@ -55,6 +55,21 @@ def test_decontaminate(spark, odd, none):
     assert cut[1] == " ".join(f"word{i}" for i in range(20)) + "  " + " ".join(f"word{i}" for i in range(35, 60))
 
 
+@pytest.mark.parametrize(("remove", "share"), [("documents", 0.0), ("documents", 0.3), ("spans", 0.0)])
+def test_decontaminate_takes_a_benchmark_of_many_blocks(spark, odd, monkeypatch, remove, share):
+    items = [(k, " ".join(f"word{i}" for i in range(k, k + 12))) for k in (5, 14, 40)] + [(9, "Other"), (10, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def rows():
+        left = decontaminate.decontaminate(odd, bench, remove=remove, max_hit_share=share)
+        assert left.columns == odd.columns
+        return sorted(map(str, left.collect()))
+
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    assert rows() == want
+
+
 def test_near_dup(odd, none):
     r = by_id(near_dup.near_duplicates(odd, size=4))
     assert [x["component_id"] for x in r[1] + r[2] + r[3]] == [1] * 4 and r[1][0]["kept"] and not r[3][0]["kept"]

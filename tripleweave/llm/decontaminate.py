@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.common import id_text, slices
+from tripleweave.llm.line_dedup import small
+from tripleweave.plans.rounds import cut
 
 N_WORDS = 10
 #: Words of items held by a task at once; more items make more blocks.
@@ -203,46 +205,59 @@ def _plain(part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _span_cutter(items, n):
-    scan = _scanner(items, n)
+def _without(texts: list, hits: list) -> list:
+    """The texts less their hit spans."""
     import regex
 
     word = regex.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-
+    out = []
+    for text, spans in zip(texts, hits, strict=True):
+        if spans:
+            at = [m.span() for m in word.finditer(text)]
+            kept, last = [], 0
+            for s in spans:
+                kept.append(text[last : at[s["first"]][0]])
+                last = at[s["past"] - 1][1]
+            text = "".join([*kept, text[last:]])
+        out.append(text)
+    return out
+
+
+def _span_cutter(names, hits_of):
     def run(batches):
         for part in slices(batches, "text"):
-            hits = next(scan(iter([_plain(part)]))).column("hits").to_pylist()
-            texts = []
-            for text, spans in zip(part.column("text").to_pylist(), hits, strict=True):
-                if spans:
-                    at = [m.span() for m in word.finditer(text)]
-                    kept, last = [], 0
-                    for s in spans:
-                        kept.append(text[last : at[s["first"]][0]])
-                        last = at[s["past"] - 1][1]
-                    text = "".join([*kept, text[last:]])
-                texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if f.name == "text" else part.column(i) for i, f in enumerate(part.schema)]
-            yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names)
+            texts = _without(part.column("text").to_pylist(), hits_of(part))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names], names=names)
 
     return run
 
 
+def _in_blocks(docs: DataFrame, benchmark: DataFrame, remove: str, max_hit_share: float, n: int, block_words: int) -> DataFrame:
+    """As ``decontaminate``, a scan per block: rows are numbered once, and the findings of all blocks meet by number."""
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = find_contamination(numbered, benchmark, n, id_col="_row", block_words=block_words)
+    if remove != "spans":
+        gone = cut(found.where(n_hit_words() > F.lit(max_hit_share) * F.col("n_words")).select(F.col("doc_id").alias("_row")), "contaminated")
+        return numbered.join(small(gone), "_row", "left_anti").select(*docs.columns)
+    spans = cut(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_row"), F.col("hits").alias("_hits")), "hits")
+    rows = numbered.join(small(spans), "_row", "left").select(*docs.columns, "_hits")
+    return rows.mapInArrow(_span_cutter(docs.columns, lambda part: part.column("_hits").to_pylist()), docs.schema)
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, remove: str = "documents", max_hit_share: float = 0.0, n: int = N_WORDS
 ) -> DataFrame:
     """``docs`` without contaminated documents (more than ``max_hit_share`` of the words hit), or without the hit spans.
 
     ``remove="spans"`` cuts the text from the first to the last hit word of each span. All columns stay.
-    The benchmark must fit one block here (``BLOCK_WORDS``); ``find_contamination`` takes any size.
+    A benchmark beyond one block (``BLOCK_WORDS``) is scanned block by block; the hits of all blocks count together.
     """
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
     if (sized.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0) > BLOCK_WORDS:
-        raise ValueError("benchmark beyond one block: remove it block by block")
-    items = [tuple(r) for r in sized.collect()]
+        return _in_blocks(docs, benchmark, remove, max_hit_share, n, BLOCK_WORDS)
+    scan = _scanner([tuple(r) for r in sized.collect()], n)
     if remove == "spans":
-        return docs.mapInArrow(_span_cutter(items, n), docs.schema)
-    scan = _scanner(items, n)
+        return docs.mapInArrow(_span_cutter(docs.columns, lambda part: next(scan(iter([_plain(part)]))).column("hits").to_pylist()), docs.schema)
 
     def run(batches):
         for part in slices(batches, "text"):
