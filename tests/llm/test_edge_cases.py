@@ -219,6 +219,15 @@ def test_pii(spark, odd, none):
     assert pii.digest(pii.find_pii(odd)).count() == odd.count() and pii.digest(pii.find_pii(none)).count() == 0
 
 
+def test_long_secrets_are_whole_candidates(spark):
+    secrets = ["0a1b2c3d" * 4, "0a1b2c3d" * 16, "sk-" + "Ab3_" * 30, "ghp_" + "x9" * 2000]
+    docs = spark.createDataFrame([(i, f"api key {x} end") for i, x in enumerate(secrets)] + [(9, "0a1b2c3d" * 16 + "g")], "doc_id long, text string")
+    found = [(r["doc_id"], r["start"], r["match"]) for r in pii.candidates(docs).where("kind = 'secret'").collect()]
+    assert sorted(found) == [(i, 8, x) for i, x in enumerate(secrets)]
+    spans = [(r["doc_id"], r["match"]) for r in pii.find_pii(docs).where("kind = 'secret'").collect()]
+    assert sorted(spans) == list(enumerate(secrets))
+
+
 def test_line_dedup_equals_brute_force(spark):
     import random
 

@@ -40,7 +40,7 @@ LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[a-z0-9-]{1,63})++",
     "ip": r"(?i)(?<![0-9a-f:])[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}(?![0-9a-f:])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,64}|(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,64})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,}+|(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])",
 }
 # What must be in a text before a pattern is tried on it.
 NEEDS = {("email", 0): "@", ("ip", 0): ".", ("phone", 0): "+", ("ip", 1): ":"}
