@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import byte_bpe, chat, cws, decontaminate, line_dedup, near_dup, pii, repeats, token_files, toxicity
+from tripleweave.llm import byte_bpe, chat, cws, decontaminate, line_dedup, near_dup, pii, repeats, substrings, token_files, toxicity
 from tripleweave.plans.rounds import new_path
 
 QUERIES: dict = {}
@@ -115,3 +115,8 @@ def op6(spark, sf_dir):
 @query("op8_repeated_passages")
 def op8(spark, sf_dir):
     return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_word_repeats")
+def op11(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"), size=20)
