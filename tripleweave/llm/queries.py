@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import byte_bpe, chat, cws, decontaminate, line_dedup, near_dup, pii, repeats, substrings, token_files, toxicity, variants
+from tripleweave.llm import byte_bpe, chat, cws, decontaminate, line_dedup, near_dup, phrases, pii, repeats, substrings, token_files, toxicity, variants
 from tripleweave.plans.rounds import new_path
 
 QUERIES: dict = {}
@@ -125,3 +125,8 @@ def op11(spark, sf_dir):
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
