@@ -35,7 +35,8 @@ from tripleweave.llm.common import slices
 from tripleweave.llm.words import Words, byte_class, cut_words, hash_values, mix, rolled, spans, text_bytes
 from tripleweave.plans.rounds import cut, top_per_group
 
-SLICE = 8 << 20
+#: Texts handled at once by a task.
+SLICE = 3 << 20
 #: Hashes sent to the tasks at once; more are sent in several blocks.
 BLOCK = 1_000_000
 TABLE_BITS = 28
@@ -320,6 +321,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
         if not active:
             break
         bounds = cut(spark.createDataFrame([(g, last.get(g, 0)) for g in active], "lang string, floor long"), "bounds")
+        texts = plain.join(bounds.select("lang"), "lang", "left_semi")  # settled languages are not read again
         batch = words.where(F.col("band") == b).join(bounds.select("lang"), "lang", "left_semi")
         blocks = []
         for hashes, _ in _blocks(batch, "word"):
@@ -328,7 +330,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
         found = None
         for i, new in enumerate(blocks):
             done = np.sort(np.concatenate(blocks[:i])) if i else np.zeros(0, np.uint64)
-            phrases = cut(_open_phrases(plain, opened, new, done, longest).where(F.col("n") >= least), "phrases")
+            phrases = cut(_open_phrases(texts, opened, new, done, longest).where(F.col("n") >= least), "phrases")
             found = phrases if found is None else found.unionAll(phrases)
         if found is None:
             continue
@@ -341,7 +343,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
         ends = ends.join(sizes, "lang").join(bounds, "lang")
         bound = F.expr("cast(1000 as decimal(4,0)) * cast(n as decimal(18,0)) div greatest(f1, fm)")
         kept = cut(ends.where(bound >= F.col("floor")).select("lang", "phrase", "a", "n", "f1", "fm"), "candidates")
-        scored = _scored(plain, kept)
+        scored = _scored(texts, kept)
         everything = scored if best is None else best.unionByName(scored)
         best = cut(top_per_group(everything, ["lang"], order, F.lit(top), ["phrase"]), "best")
         full = best.groupBy("lang").agg(F.count("*").alias("c"), F.min("score").alias("low")).where(F.col("c") >= top)
