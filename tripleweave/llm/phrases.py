@@ -17,7 +17,7 @@ its occurrences have one word before, or after, them; this is seen while countin
 by 64-bit hashes).
 
 Open words and wanted parts go to the tasks as sets of hashes, at most ``BLOCK`` at a time, one scan of the texts per block;
-the other end of a phrase is tested on a bit table of at most ``2 ** TABLE_BITS`` bits. Both only choose what is counted:
+the other end of a phrase is tested on a bit table of bounded size. Both only choose what is counted:
 counts are kept per phrase text, and ends are checked on exact word counts afterwards.
 
 Null texts are empty, null languages ``und``. Repeated rows count again. An empty table gives an empty result.
@@ -31,15 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.common import slices
-from tripleweave.llm.words import Words, byte_class, cut_words, hash_values, mix, rolled, spans, text_bytes
+from tripleweave.llm.words import BitTable, Words, byte_class, cut_words, hash_values, lean_slices, member, mix, rolled, spans, text_bytes
 from tripleweave.plans.rounds import cut, top_per_group
 
 #: Texts handled at once by a task.
 SLICE = 3 << 20
 #: Hashes sent to the tasks at once; more are sent in several blocks.
 BLOCK = 1_000_000
-TABLE_BITS = 28
 #: Upper end of a band of word counts over its lower end.
 BAND = 4
 
@@ -106,28 +104,6 @@ def hashes_of(langs: pa.Array, phrases: pa.Array) -> tuple[np.ndarray, np.ndarra
     return out, h[first]
 
 
-def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(values), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
-
-
-class BitTable:
-    """A set of 64-bit hashes that may say yes too often; its size has a fixed bound."""
-
-    def __init__(self, expected: int):
-        self.bits = min(TABLE_BITS, max(16, int(expected * 16).bit_length()))
-        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        at = hashes >> np.uint64(64 - self.bits)
-        np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.bits)
-        return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 _COUNTS = "lang string, phrase string, n long, rows long, lefts long, left_min long, left_max long, rights long, right_min long, right_max long"
 
 
@@ -189,7 +165,7 @@ def _count(plain: DataFrame, longest: int, choose) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE):
+        for batch in lean_slices(batches, "text", SLICE):
             s = Slice(batch)
             if len(s.code):
                 starts, wanted = choose(s)
@@ -206,7 +182,7 @@ def _count(plain: DataFrame, longest: int, choose) -> DataFrame:
 
 def word_counts(plain: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in slices(batches, "text", SLICE):
+        for batch in lean_slices(batches, "text", SLICE):
             s = Slice(batch)
             if len(s.code):
                 n = np.bincount(s.code, minlength=len(s.distinct))
@@ -230,7 +206,7 @@ def _open_phrases(plain: DataFrame, opened: BitTable, new: np.ndarray, done: np.
     """Phrases with open ends, one of them in ``new``; none that an earlier block of the round (``done``) has."""
 
     def choose(s: Slice):
-        open_, fresh, seen = opened.has(s.hash), _member(new, s.hash), _member(done, s.hash)
+        open_, fresh, seen = opened.has(s.hash), member(new, s.hash), member(done, s.hash)
 
         def wanted(m, first):
             a, b = s.code[first], s.code[first + m - 1]
@@ -248,9 +224,9 @@ def _wanted_phrases(plain: DataFrame, phrases: np.ndarray, firsts: np.ndarray, l
         h = s.hash[s.code]
 
         def wanted(m, first):
-            return _member(phrases, mix(rolled_at(h, first, m)))
+            return member(phrases, mix(rolled_at(h, first, m)))
 
-        return _member(firsts, s.hash), wanted
+        return member(firsts, s.hash), wanted
 
     return _count(plain, longest, choose)
 

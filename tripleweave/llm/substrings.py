@@ -7,10 +7,11 @@ a repeat and all its suffixes but the first are repeats of an earlier one.
 * **Prefixes.** Neighbouring windows would travel with nearly the same words, so a window is filed under one
   of the suffixes that begin in it: the one whose prefix of ``GRAM`` words has the least hash. Equal windows
   choose the same prefix, and a run of windows that choose one travels as one piece of text.
-  A prefix that more than ``HOT_WINDOWS`` windows choose (counted over all rows first) is lengthened to
-  the whole window, so that no group outgrows memory.
+  Prefixes are counted over all rows first. One that a single slice has is a leaf of the whole tree and is not sent
+  (a bit table of bounded size tells; where it is full, leaves are sent and dropped later). One that
+  more than ``HOT_WINDOWS`` windows choose is lengthened to the whole window, so that no group outgrows memory.
 * **Groups.** Prefixes are dealt to groups of about ``GROUP_BYTES`` by their hash; the number of groups
-  follows the size of the texts.
+  follows the windows counted.
 * **Subtrees.** A task grows the tree of a group by levels of 1, 2, 4, 8, 16, ... words up to ``size``. A
   node of one suffix is a leaf and is dropped at once. Words are compared, not hashes of them.
 
@@ -32,23 +33,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.common import slices
-from tripleweave.llm.words import BLANK, Words, cut_words, hash_values, mix, rolled, sliding_min, spans, text_bytes
+from tripleweave.llm.words import BLANK, BitTable, Words, cut_words, give_back, hash_values, lean_slices, member, mix, rolled, sliding_min, spans, text_bytes
 from tripleweave.plans.rounds import cut
 
 #: Words of the prefix a window is filed under.
 GRAM = 4
 #: Texts handled at once by a task.
-SLICE = 8 << 20
-#: Bytes of text that one group receives on average, and how many bytes of pieces a byte of text makes.
-GROUP_BYTES = 24 << 20
-GROWTH = 3.2
-#: More windows than this, and more than one in 2**15 of all, lengthen a prefix; so 65 536 prefixes at most.
+SLICE = 3 << 20
+#: Bytes of text that one group receives on average, and how many a window takes in its piece.
+GROUP_BYTES = 6 << 20
+WINDOW_BYTES = 20
+#: More windows than this, and more than one in 2**15 of all, lengthen a prefix; so 32 768 prefixes at most.
 HOT_WINDOWS = 100_000
 HOT_SHARE = 1 / (1 << 15)
 
 _ROW = pa.schema(
-    [("key", pa.uint64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.large_binary())]
+    [("part", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.binary())]
 )
 _HIT = "doc_id long, rk long, start long, n long"
 
@@ -149,28 +149,18 @@ def _starts_in_row(words: Words) -> np.ndarray:
     return np.arange(len(words.row)) - np.searchsorted(words.row, words.row, "left")
 
 
-def _pack(table: pa.Table | pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
-def _hits(words: Words, batch: pa.RecordBatch, at: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Runs of repeated windows at word numbers ``at`` as rows of ``_ROW`` without text."""
+def _hits(words: Words, batch: pa.RecordBatch, at: np.ndarray, place: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Runs of repeated windows at word numbers ``at`` as rows of ``_ROW`` without key and text, for any group."""
     first, n = _runs(at, words.row[at])
     rows = pa.array(words.row[at[first]])
+    part = np.arange(len(n)) % groups
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(len(n), pa.uint64()), batch.column("doc_id").take(rows), batch.column("rk").take(rows),
-         pa.array(place[at[first]]), pa.array(n), pa.nulls(len(n), pa.large_binary())], schema=_ROW)
+        [pa.array(part, pa.int32()), pa.nulls(len(n), pa.int64()), batch.column("doc_id").take(rows), batch.column("rk").take(rows),
+         pa.array(place[at[first]]), pa.array(n), pa.nulls(len(n), pa.binary())], schema=_ROW)
 
 
-def _pieces(batch: pa.RecordBatch, size: int, hot: np.ndarray, groups: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Of one slice: hits among its own rows (under group -1) and, per group, pieces of text with their windows."""
+def _pieces(batch: pa.RecordBatch, size: int, hot: np.ndarray, shared: BitTable, groups: int) -> Iterator[pa.RecordBatch]:
+    """Of one slice: hits among its own rows, and pieces of text with the windows other slices may have."""
     words = _words(batch.column("text"))
     at, key, window = _keys(words, size)
     if not len(at):
@@ -185,28 +175,24 @@ def _pieces(batch: pa.RecordBatch, size: int, hot: np.ndarray, groups: int) -> I
         rank = _ranks(batch.column("doc_id"), batch.column("rk").to_numpy())
         gone[twins] = _later(node, rank[words.row[at[twins]]], place[at[twins]])
         if gone.any():
-            yield -1, _hits(words, batch, at[gone], place)
-    at, key, window = at[~gone], key[~gone], window[~gone]
-    if len(hot):
-        long = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-        key = np.where(long, window, key)
+            yield _hits(words, batch, at[gone], place, groups)
+    sent = ~gone
+    sent[sent] = shared.has(key[sent])
+    at, key, window = at[sent], key[sent], window[sent]
+    key = np.where(member(hot, key), window, key)
     first, n = _runs(at, key)
     last = at[first] + n - 1 + size - 1
     # A run may not cross rows: the windows before and after a row's end are never consecutive.
-    group = (mix(key[first]) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    part = (mix(key[first]) % np.uint64(groups)).astype(np.int32)
     begin, end = words.start[at[first]], words.end[last]
-    _, inner = spans((end - begin)[order])
-    body = words.data[np.repeat(begin[order], (end - begin)[order]) + inner]
-    ends = np.append(0, np.cumsum((end - begin)[order])).astype(np.int64)
-    text = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
-    rows = pa.array(words.row[at[first]][order])
-    table = pa.RecordBatch.from_arrays(
-        [pa.array(key[first][order]), batch.column("doc_id").take(rows), batch.column("rk").take(rows),
-         pa.array(place[at[first]][order]), pa.array(n[order]), text], schema=_ROW)
-    edges = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-    for a, b in zip(edges, np.append(edges[1:], len(order))):
-        yield int(group[order[a]]), table.slice(a, b - a)
+    _, inner = spans(end - begin)
+    body = words.data[np.repeat(begin, end - begin) + inner]
+    ends = np.append(0, np.cumsum(end - begin)).astype(np.int32)
+    text = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+    rows = pa.array(words.row[at[first]])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(part), pa.array(key[first].view(np.int64)), batch.column("doc_id").take(rows), batch.column("rk").take(rows),
+         pa.array(place[at[first]]), pa.array(n), text], schema=_ROW)
 
 
 def _subtree(table: pa.Table, size: int) -> pa.RecordBatch | None:
@@ -236,26 +222,32 @@ def _subtree(table: pa.Table, size: int) -> pa.RecordBatch | None:
          pa.array((start[piece] + place)[gone][first]), pa.array(length)], names=["doc_id", "rk", "start", "n"])
 
 
-def hot_prefixes(plain: DataFrame, size: int, total: int) -> np.ndarray:
-    """Prefix hashes that too many windows choose. ``total`` is the bytes of all texts.
-
-    A slice reports the prefixes that reach its share of half the limit, so what goes unreported stays under the other half,
-    and a prefix beyond the limit is always found.
-    """
-    limit = max(HOT_WINDOWS, int(total / 6 * HOT_SHARE))
-    share = max(1, int(limit / 2 / (total / SLICE + 1)))
+def prefix_counts(plain: DataFrame, size: int) -> DataFrame:
+    """``(key, slices, windows)`` of the prefixes that windows are filed under, over all rows."""
 
     def count(batches):
+        for part in lean_slices(batches, "text", SLICE):
+            _, key, _ = _keys(_words(part.column(0)), size)
+            keys, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counted = plain.select("text").mapInArrow(count, "key long, n long")
+    return counted.groupBy("key").agg(F.count("*").alias("slices"), F.sum("n").alias("windows"))
+
+
+def _shared_table(shared: DataFrame, expected: int) -> BitTable:
+    """The keys as a bit table; its cells are put together by key range, 64 bits a row."""
+    table = BitTable(expected)
+
+    def cells(batches):
         for batch in batches:
-            for part in slices(iter([batch]), "text", SLICE):
-                _, key, _ = _keys(_words(part.column(0)), size)
-                keys, n = np.unique(key, return_counts=True)
-                often = n >= share
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], names=["key", "n"])
+            byte, bit = table.place(batch.column(0).to_numpy().view(np.uint64))
+            shift = (byte & np.uint64(7)) * np.uint64(8)
+            yield pa.RecordBatch.from_arrays([pa.array((byte >> np.uint64(3)).astype(np.int64)), pa.array((bit.astype(np.uint64) << shift).view(np.int64))], names=["cell", "bits"])
 
-    found = plain.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") >= limit // 2).select("key").toArrow()  # at most 2 windows / limit
-    return np.sort(rows.column("key").to_numpy().view(np.uint64))
+    rows = shared.select("key").mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table.table.view(np.int64)[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
+    return table
 
 
 def find_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,43 +258,43 @@ def find_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     if size < 1:
         raise ValueError("size must be at least one word")
     plain = _plain(docs, id_col, text)
-    total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = int(total * GROWTH / GROUP_BYTES) + 1
-    hot = hot_prefixes(plain, size, total)
+    shared = cut(prefix_counts(plain, size).where(F.col("slices") > 1), "prefixes")
+    sums = shared.agg(F.count("*").alias("keys"), F.coalesce(F.sum("windows"), F.lit(0)).alias("windows")).first()
+    limit = max(HOT_WINDOWS, int(sums["windows"] * HOT_SHARE))
+    hot = shared.where(F.col("windows") > limit).select("key").toArrow()  # at most windows / limit rows
+    hot = np.sort(hot.column("key").to_numpy().view(np.uint64))
+    groups = int(sums["windows"] * WINDOW_BYTES / GROUP_BYTES) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(_shared_table(shared, sums["keys"]))
 
     def deal(batches):
-        for batch in slices(batches, "text", SLICE):
-            got = list(_pieces(batch, size, hot, groups))
-            spread = int(batch.column("rk")[0].as_py() % groups)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([spread if g < 0 else g for g, _ in got], pa.int32()), pa.array([_pack(t) for _, t in got], pa.binary())],
-                names=["group", "pieces"],
-            )
+        for batch in lean_slices(batches, "text", SLICE):
+            yield from _pieces(batch, size, hot, sent.value, groups)
+
+    def finish(table):
+        local = table.filter(pc.is_null(table.column("key")))
+        if local.num_rows:
+            yield from local.select(["doc_id", "rk", "start", "n"]).combine_chunks().to_batches()
+        found = _subtree(table.filter(pc.is_valid(table.column("key"))), size)
+        if found is not None:
+            yield found
+        give_back()
 
     def grow(batches):
-        def finish(parts):
-            local = [p.filter(p.column("key").is_null()) for p in parts]
-            for hits in local:
-                if hits.num_rows:
-                    yield from hits.select(["doc_id", "rk", "start", "n"]).to_batches()
-            sent = [p for p, q in zip(parts, local) if not q.num_rows]
-            if sent:
-                found = _subtree(pa.concat_tables(sent), size)
-                if found is not None:
-                    yield found
-
-        group, parts = None, []
+        kept = []
         for batch in batches:
-            for g, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if g != group and parts:
-                    yield from finish(parts)
-                    parts = []
-                group = g
-                parts.append(_unpack(blob.as_buffer()))
-        if parts:
-            yield from finish(parts)
-
-    dealt = plain.mapInArrow(deal, "group int, pieces binary").repartition(groups, "group").sortWithinPartitions("group")
+            part = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]  # rows are sorted by group
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    if kept and kept[-1].column("part")[0].as_py() != part[a]:
+                        yield from finish(pa.Table.from_batches(kept))
+                        kept = []
+                    kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from finish(pa.Table.from_batches(kept))
+
+    schema = "part int, key long, doc_id long, rk long, start long, n long, text binary"
+    dealt = plain.mapInArrow(deal, schema).repartition(groups, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(grow, _HIT)
 
 
@@ -352,7 +344,7 @@ def digest(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text: str =
     hits = cut(find_repeats(docs, size, id_col, text), "word_repeats")
 
     def work(batches):
-        for batch in slices(batches, "text", SLICE):
+        for batch in lean_slices(batches, "text", SLICE):
             rows = [(n, gone, hashlib.sha256(body).hexdigest()) for n, gone, body in _kept(batch, size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
@@ -373,7 +365,7 @@ def remove_word_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id",
     joined = _with_runs(docs, hits, id_col, text, keep=True).select("row", "text", "runs")
 
     def work(batches):
-        for batch in slices(batches, "text", SLICE):
+        for batch in lean_slices(batches, "text", SLICE):
             old = batch.column("text").to_pylist()
             new = [o if not gone else body.decode() for o, (_, gone, body) in zip(old, _kept(batch, size))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "kept"])

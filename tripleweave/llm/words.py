@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tripleweave.llm.common import slices
+
 #: An odd multiplier and the seed of the byte values of the polynomial word hash; any would do.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
@@ -24,6 +28,21 @@ def byte_class(chars: bytes) -> np.ndarray:
 BLANK = byte_class(b" \t\n\x0b\x0c\r")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again, and would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """:func:`slices`, giving back what the last one took before the next."""
+    for part in slices(batches, text, limit):
+        yield part
+        give_back()
+
+
 @dataclass
 class Words:
     """Words of a column in order: row, byte span in ``data``, number in ``values`` and the distinct words."""
@@ -116,6 +135,36 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+class BitTable:
+    """A set of 64-bit hashes that may say yes too often; its size has a fixed bound of ``2 ** MOST`` bits (32 MB)."""
+
+    MOST = 28
+
+    def __init__(self, expected: int):
+        self.bits = min(self.MOST, max(16, int(expected * 16).bit_length()))
+        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
+
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte and bit of each hash."""
+        at = mix(hashes) >> np.uint64(64 - self.bits)
+        return at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        byte, bit = self.place(hashes)
+        np.bitwise_or.at(self.table, byte, bit)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        byte, bit = self.place(hashes)
+        return (self.table[byte] & bit) > 0
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """Least of ``size`` consecutive entries for every start, by doubling."""
     step = 1
