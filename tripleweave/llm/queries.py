@@ -117,7 +117,19 @@ def op8(spark, sf_dir):
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op11_word_repeats")
+@query(
+    "op11_word_repeats",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+    firsts AS (SELECT g, min((doc_id, i)) AS f FROM windows GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM windows JOIN firsts USING (g) WHERE (doc_id, i) > f),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS body, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """.replace("\\\\", "\\"),
+)
 def op11(spark, sf_dir):
     return substrings.digest(table(spark, sf_dir, "documents"), size=20)
 
@@ -127,6 +139,28 @@ def op13(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-@query("op12_collocations")
+@query(
+    "op12_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+    sizes AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+    grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)),
+    f AS (SELECT lang, phrase, any_value(m) AS m, count(*)::HUGEINT AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100),
+    inner_ AS (SELECT DISTINCT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, f FROM (
+        SELECT lang, string_split(phrase, ' ') AS ws, f, k, unnest(range(1, m - k + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS k) WHERE k < m)),
+    stay AS (SELECT * FROM f WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = f.lang AND x.phrase = f.phrase AND 100 * x.f >= 100 * f.f)),
+    cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM (
+        SELECT lang, phrase, f, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM stay)),
+    scored AS (SELECT c.lang, c.phrase, c.a, n, k, l.f AS l, r.f AS r, (1000 * c.a * n) // (l.f * r.f) AS score
+        FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = rest JOIN sizes s ON s.lang = c.lang),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+    """.replace("\\\\", "\\"),
+)
 def op12(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))

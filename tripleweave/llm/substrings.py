@@ -7,8 +7,8 @@ a repeat and all its suffixes but the first are repeats of an earlier one.
 * **Prefixes.** Neighbouring windows would travel with nearly the same words, so a window is filed under one
   of the suffixes that begin in it: the one whose prefix of ``GRAM`` words has the least hash. Equal windows
   choose the same prefix, and a run of windows that choose one travels as one piece of text.
-  Prefixes are counted over all rows first. One that a single slice has is a leaf of the whole tree and is not sent
-  (a bit table of bounded size tells; where it is full, leaves are sent and dropped later). One that
+  Prefixes are counted over all rows first. One that stands in a single place is a leaf of the whole tree and is not
+  sent (a bit table of bounded size tells; where it is full, leaves are sent and dropped later). One that
   more than ``HOT_WINDOWS`` windows choose is lengthened to the whole window, so that no group outgrows memory.
 * **Groups.** Prefixes are dealt to groups of about ``GROUP_BYTES`` by their hash; the number of groups
   follows the windows counted.
@@ -160,7 +160,7 @@ def _hits(words: Words, batch: pa.RecordBatch, at: np.ndarray, place: np.ndarray
 
 
 def _pieces(batch: pa.RecordBatch, size: int, hot: np.ndarray, shared: BitTable, groups: int) -> Iterator[pa.RecordBatch]:
-    """Of one slice: hits among its own rows, and pieces of text with the windows other slices may have."""
+    """Of one slice: hits among its own rows, and pieces of text with the windows that may stand elsewhere too."""
     words = _words(batch.column("text"))
     at, key, window = _keys(words, size)
     if not len(at):
@@ -223,16 +223,21 @@ def _subtree(table: pa.Table, size: int) -> pa.RecordBatch | None:
 
 
 def prefix_counts(plain: DataFrame, size: int) -> DataFrame:
-    """``(key, slices, windows)`` of the prefixes that windows are filed under, over all rows."""
+    """``(key, places, windows)`` of the prefixes that windows are filed under, over all rows.
+
+    ``places`` counts runs of neighbouring windows, so it does not depend on how rows are dealt to tasks.
+    """
 
     def count(batches):
         for part in lean_slices(batches, "text", SLICE):
-            _, key, _ = _keys(_words(part.column(0)), size)
-            keys, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            at, key, _ = _keys(_words(part.column(0)), size)
+            first, n = _runs(at, key)
+            keys, of, places = np.unique(key[first], return_inverse=True, return_counts=True)
+            windows = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), pa.array(windows)], names=["key", "places", "windows"])
 
-    counted = plain.select("text").mapInArrow(count, "key long, n long")
-    return counted.groupBy("key").agg(F.count("*").alias("slices"), F.sum("n").alias("windows"))
+    counted = plain.select("text").mapInArrow(count, "key long, places long, windows long")
+    return counted.groupBy("key").agg(F.sum("places").alias("places"), F.sum("windows").alias("windows"))
 
 
 def _shared_table(shared: DataFrame, expected: int) -> BitTable:
@@ -258,7 +263,7 @@ def find_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text:
     if size < 1:
         raise ValueError("size must be at least one word")
     plain = _plain(docs, id_col, text)
-    shared = cut(prefix_counts(plain, size).where(F.col("slices") > 1), "prefixes")
+    shared = cut(prefix_counts(plain, size).where(F.col("places") > 1), "prefixes")
     sums = shared.agg(F.count("*").alias("keys"), F.coalesce(F.sum("windows"), F.lit(0)).alias("windows")).first()
     limit = max(HOT_WINDOWS, int(sums["windows"] * HOT_SHARE))
     hot = shared.where(F.col("windows") > limit).select("key").toArrow()  # at most windows / limit rows
