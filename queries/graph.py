@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import Registry, table
+from tripleweave.operators import constraints as cs
 from tripleweave.operators import graph as gr
 from tripleweave.operators import reason as rs
 from tripleweave.operators.schema import OWL, RDF_TYPE, RDFS
@@ -128,30 +129,55 @@ def owl_inconsistent(spark, sf):
     return rs.inconsistencies(t)
 
 
-VALID = f"""with t as ({RML}), ty as (select s x, o c from t where p = {TYPE}), n as (select s, p, count(distinct o) n from t group by all)
-select 'domain' test, 'urn:nation' target, sum((x is null)::int)::bigint violations, count(*) checked from t left join ty on x = s and c = 'urn:Nation' where p = 'urn:nation'
-union all select 'range', 'urn:nation', sum((x is null)::int)::bigint, count(*) from t left join ty on x = o and c = 'urn:Nation' where p = 'urn:nation'
+X = "http://www.w3.org/2001/XMLSchema#"
+RULES = [
+    ("urn:nation", rs.DOMAIN, "urn:Customer"), ("urn:region", rs.DOMAIN, "urn:Customer"), ("urn:unused", rs.DOMAIN, "urn:Customer"),
+    ("urn:nation", rs.RANGE, "urn:Place"), ("urn:region", rs.RANGE, "urn:Region"), ("urn:Nation", rs.SUB_CLASS, "urn:Place"),
+    ("urn:nationKey", rs.RANGE, X + "integer"), ("urn:segment", rs.RANGE, X + "boolean"), ("urn:source", rs.RANGE, "urn:Code"),
+    ("urn:Code", OWL + "onDatatype", X + "string"), ("urn:Code", OWL + "withRestrictions", "_:f"), ("_:f", cs.RDF + "first", "_:f1"),
+    ("_:f", cs.RDF + "rest", cs.RDF + "nil"), ("_:f1", X + "pattern", '"[a-m]+"'),
+    ("urn:segment", RDF_TYPE, OWL + "FunctionalProperty"), ("urn:segment", RDF_TYPE, OWL + "InverseFunctionalProperty"),
+    ("urn:nation", RDF_TYPE, OWL + "AsymmetricProperty"), ("urn:nation", RDF_TYPE, OWL + "IrreflexiveProperty"),
+    ("urn:nation", OWL + "propertyDisjointWith", "urn:region"), ("urn:Customer", OWL + "disjointWith", "urn:Place"),
+    ("_:d", RDF_TYPE, OWL + "AllDisjointClasses"), ("_:d", OWL + "members", "_:l1"), ("_:l1", cs.RDF + "first", "urn:Nation"), ("_:l1", cs.RDF + "rest", "_:l2"),
+    ("_:l2", cs.RDF + "first", "urn:Customer"), ("_:l2", cs.RDF + "rest", "_:l3"), ("_:l3", cs.RDF + "first", "urn:Place"), ("_:l3", cs.RDF + "rest", cs.RDF + "nil"),
+    *[t for i, (cls, prop, kind, value) in enumerate([
+        ("urn:Customer", "urn:nation", "cardinality", '"1"^^<' + X + "nonNegativeInteger>"), ("urn:Nation", "urn:region", "minCardinality", '"2"'),
+        ("urn:Customer", RDFS + "label", "minCardinality", "1"), ("urn:Customer", "urn:source", "maxCardinality", "0"),
+        ("urn:Customer", "urn:nation", "allValuesFrom", "urn:Nation"), ("urn:Nation", "urn:region", "someValuesFrom", "urn:Region"),
+    ]) for t in ((cls, rs.SUB_CLASS, f"_:r{i}"), (f"_:r{i}", OWL + "onProperty", prop), (f"_:r{i}", OWL + kind, value))],
+]
+
+VALID = f"""with t as (select distinct * from ({RML})), ty0 as (select s x, o c from t where p = {TYPE}), ty as (select * from ty0 union select x, 'urn:Place' from ty0 where c = 'urn:Nation'),
+n as (select s, p, count(distinct o) n from t group by all)
+select 'domain' test, 'urn:nation' target, sum((x is null)::int)::bigint violations, count(*) checked from t left join ty on x = s and c = 'urn:Customer' where p = 'urn:nation'
+union all select 'domain', 'urn:region', sum((x is null)::int)::bigint, count(*) from t left join ty on x = s and c = 'urn:Customer' where p = 'urn:region'
+union all select 'domain', 'urn:unused', 0, 0
+union all select 'range', 'urn:nation', sum((x is null)::int)::bigint, count(*) from t left join ty on x = o and c = 'urn:Place' where p = 'urn:nation'
 union all select 'range', 'urn:region', sum((x is null)::int)::bigint, count(*) from t left join ty on x = o and c = 'urn:Region' where p = 'urn:region'
-union all select 'datatype', 'urn:nationKey', sum((try_cast(o as bigint) is null)::int)::bigint, count(*) from t where p = 'urn:nationKey'
-union all select 'datatype', 'urn:segment', sum((try_cast(o as bigint) is null)::int)::bigint, count(*) from t where p = 'urn:segment'
-union all select 'pattern', 'urn:segment', sum((not regexp_matches(o, '^[A-M]'))::int)::bigint, count(*) from t where p = 'urn:segment'
-union all select 'max cardinality', 'urn:nation', sum((n > 1)::int)::bigint, count(*) from n where p = 'urn:nation'
+union all select 'datatype', 'urn:nationKey', sum((not regexp_full_match(o, '[+-]?[0-9]+') or datatype <> '{X}integer')::int)::bigint, count(*) from t where p = 'urn:nationKey'
+union all select 'datatype', 'urn:segment', sum((o not in ('true', 'false', '0', '1'))::int)::bigint, count(*) from t where p = 'urn:segment'
+union all select 'datatype', 'urn:source', 0, count(*) from t where p = 'urn:source'
+union all select 'pattern', 'urn:source', sum((not regexp_full_match(o, '[a-m]+'))::int)::bigint, count(*) from t where p = 'urn:source'
 union all select 'functional', 'urn:segment', sum((n > 1)::int)::bigint, count(*) from n where p = 'urn:segment'
 union all select 'inverse functional', 'urn:segment', sum((k > 1)::int)::bigint, count(*) from (select o, count(distinct s) k from t where p = 'urn:segment' group by 1)
-union all select 'min cardinality', 'urn:Nation urn:region', sum((coalesce(n, 0) < 1)::int)::bigint, count(*) from ty left join n on s = x and p = 'urn:region' where c = 'urn:Nation'
+union all select 'asymmetric', 'urn:nation', sum((b.s is not null)::int)::bigint, count(*) from t a left join t b on a.s = b.o and a.o = b.s and b.p = 'urn:nation' where a.p = 'urn:nation'
+union all select 'irreflexive', 'urn:nation', sum((s = o)::int)::bigint, count(*) from t where p = 'urn:nation'
+union all select 'disjoint properties', 'urn:nation urn:region', sum((b.s is not null)::int)::bigint, count(*) from t a left join t b on a.s = b.s and a.o = b.o and b.p = 'urn:region' where a.p = 'urn:nation'
+union all select 'disjoint', 'urn:Customer urn:Place', sum((b.x is not null)::int)::bigint, count(*) from ty a left join ty b on a.x = b.x and b.c = 'urn:Place' where a.c = 'urn:Customer'
+union all select 'all disjoint', '_:d', sum((k > 1)::int)::bigint, count(*) from (select x, count(*) k from ty where c in ('urn:Nation', 'urn:Customer', 'urn:Place') group by 1)
+union all select u.test, 'urn:Customer urn:nation', sum((case when u.test = 'min cardinality' then coalesce(n, 0) < 1 else coalesce(n, 0) > 1 end)::int)::bigint, count(*)
+  from ty left join n on s = x and p = 'urn:nation', (values ('min cardinality'), ('max cardinality')) u(test) where c = 'urn:Customer' group by 1
+union all select 'max cardinality', 'urn:Customer urn:source', sum((coalesce(n, 0) > 0)::int)::bigint, count(*) from ty left join n on s = x and p = 'urn:source' where c = 'urn:Customer'
+union all select 'min cardinality', 'urn:Nation urn:region', sum((coalesce(n, 0) < 2)::int)::bigint, count(*) from ty left join n on s = x and p = 'urn:region' where c = 'urn:Nation'
 union all select 'label', 'urn:Customer', sum((s is null)::int)::bigint, count(*) from ty left join (select distinct s from t where p = {LABEL}) on s = x where c = 'urn:Customer'
-union all select 'disjoint', 'urn:Customer urn:Nation', sum((b.x is not null)::int)::bigint, count(*) from ty a left join ty b on a.x = b.x and b.c = 'urn:Nation' where a.c = 'urn:Customer'"""
+union all select 'all values', 'urn:Customer urn:nation urn:Nation', sum((b.x is null)::int)::bigint, count(*) from ty a join t on s = a.x and p = 'urn:nation' left join ty b on b.x = o and b.c = 'urn:Nation' where a.c = 'urn:Customer'
+union all select 'some values', 'urn:Nation urn:region urn:Region', count(*), count(*) from ty where c = 'urn:Nation'"""
 
 
 @reg.query("rdf_validate", VALID)
 def rdf_validate(spark, sf):
-    t = cut(rml_map(spark, sf), "triples")
-    return rs.validate(
-        t, domain={"urn:nation": "urn:Nation"}, range_={"urn:nation": "urn:Nation", "urn:region": "urn:Region"},
-        datatype={"urn:nationKey": "bigint", "urn:segment": "bigint"}, pattern={"urn:segment": "^[A-M]"}, max_card={"urn:nation": 1},
-        functional=("urn:segment",), inverse_functional=("urn:segment",), min_card={("urn:Nation", "urn:region"): 1},
-        required_label=("urn:Customer",), disjoint=(("urn:Customer", "urn:Nation"),),
-    )
+    return cs.validate(cut(rml_map(spark, sf), "triples"), spark.createDataFrame(RULES, "s string, p string, o string"))
 
 
 @reg.query("stream_graph", f"""with t as (select 'urn:e/' || event_id s, 'urn:user' p, 'urn:u/' || user_id o, false l from events

@@ -1,8 +1,8 @@
-"""Rule-based closure, contradictions and data-quality tests over triples ``(s, p, o)``."""
+"""Rule-based closure and contradictions over triples ``(s, p, o)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.operators.schema import OWL, RDF_TYPE, RDFS
@@ -115,78 +115,3 @@ def _functional_conflicts(t: DataFrame) -> DataFrame:
     f = t.join(_typed(t, "FunctionalProperty"), "p")
     differ = _where(t, DIFFERENT, "o", "o2")
     return f.join(differ, "o").join(t.select("s", "p", F.col("o").alias("o2")), ["s", "p", "o2"], "left_semi").select("s", "p")
-
-
-# --- validation ------------------------------------------------------------------------
-
-
-def validate(
-    triples: DataFrame,
-    domain: dict[str, str] | None = None,
-    range_: dict[str, str] | None = None,
-    datatype: dict[str, str] | None = None,
-    min_card: dict[tuple[str, str], int] | None = None,
-    max_card: dict[str, int] | None = None,
-    functional: tuple[str, ...] = (),
-    inverse_functional: tuple[str, ...] = (),
-    disjoint: tuple[tuple[str, str], ...] = (),
-    required_label: tuple[str, ...] = (),
-    pattern: dict[str, str] | None = None,
-) -> DataFrame:
-    """``(test, target, violations, checked)``: one row per test case of an ontology.
-
-    ``triples`` is ``(s, p, o, o_is_literal)``. Tests of a kind share one pass over the data:
-    their targets are a short literal list joined or tested inside one aggregate.
-    """
-    types = triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("x"), F.col("o").alias("c")).distinct()
-    out: list[DataFrame] = []
-
-    def report(test: str, df: DataFrame, target: str, bad: Column) -> None:
-        out.append(df.groupBy(F.col(target).alias("target")).agg(
-            F.count(F.when(bad, 1)).alias("violations"), F.count("*").alias("checked")
-        ).select(F.lit(test).alias("test"), "target", "violations", "checked"))
-
-    def lookup(spec: dict) -> Column:
-        return F.element_at(F.create_map(*[F.lit(v) for kv in spec.items() for v in kv]), F.col("p"))
-
-    for test, spec, end in (("domain", domain, "s"), ("range", range_, "o")):
-        if spec:
-            used = triples.where(F.col("p").isin(*spec)).withColumn("c", lookup(spec)).withColumn("x", F.col(end))
-            marked = used.join(types.withColumn("_ok", F.lit(True)), ["x", "c"], "left")
-            report(test, marked, "p", F.col("_ok").isNull())
-    if datatype:
-        value = F.col("o")
-        fits = F.lit(False)
-        for kind in set(datatype.values()):
-            fits = F.when(F.col("_t") == kind, F.col("o_is_literal") & value.try_cast(kind).isNotNull()).otherwise(fits)
-        report("datatype", triples.where(F.col("p").isin(*datatype)).withColumn("_t", lookup(datatype)), "p", ~fits)
-    if pattern:
-        fits = F.lit(False)
-        for p, regex in pattern.items():
-            fits = F.when(F.col("p") == p, F.col("o").rlike(regex)).otherwise(fits)
-        report("pattern", triples.where(F.col("p").isin(*pattern)), "p", ~fits)
-
-    per_subject = triples.groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
-    limits = {**(max_card or {})}
-    if limits:
-        report("max cardinality", per_subject.where(F.col("p").isin(*limits)), "p", F.col("n") > lookup(limits))
-    if functional:
-        report("functional", per_subject.where(F.col("p").isin(*functional)), "p", F.col("n") > 1)
-    if inverse_functional:
-        per_object = triples.where(F.col("p").isin(*inverse_functional)).groupBy("o", "p").agg(F.count_distinct("s").alias("n"))
-        report("inverse functional", per_object, "p", F.col("n") > 1)
-    for (cls, p), least in (min_card or {}).items():
-        need = types.where(F.col("c") == cls).join(per_subject.where(F.col("p") == p).select(F.col("s").alias("x"), "n"), "x", "left")
-        report("min cardinality", need.withColumn("target", F.lit(f"{cls} {p}")), "target", F.coalesce("n", F.lit(0)) < least)
-    if required_label:
-        labelled = triples.where(F.col("p") == RDFS + "label").select(F.col("s").alias("x"), F.lit(True).alias("_l")).distinct()
-        need = types.where(F.col("c").isin(*required_label)).join(labelled, "x", "left")
-        report("label", need, "c", F.col("_l").isNull())
-    for a, b in disjoint:
-        in_b = types.where(F.col("c") == b).select("x", F.lit(True).alias("_b"))
-        in_a = types.where(F.col("c") == a).join(in_b, "x", "left").withColumn("target", F.lit(f"{a} {b}"))
-        report("disjoint", in_a, "target", F.col("_b").isNotNull())
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
