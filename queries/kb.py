@@ -290,6 +290,23 @@ def kg_match_literals(spark, sf):
     return scored(kb.match_literals(f1, f2, 0.93))
 
 
+def literal_vectors(spark, sf, facts):
+    """A vector for every literal with a number in it, by that number."""
+    number = F.regexp_extract("o", "([0-9]+)", 1).try_cast("bigint")
+    named = facts.where("o LIKE '\"%'").select("o").distinct().select("o", (number % 500).alias("vec_id"))
+    return named.join(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("o", "vec")
+
+
+@reg.query("kg_match_vectors", f"""with {KBS}, {', '.join(f"""l{i} as (select o, array_to_string(list_filter(string_split_regex(lower(o), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') n from (select distinct o from d{i} where o like '"%')),
+v{i} as (select o, embedding::double[] v, sqrt(list_inner_product(embedding::double[], embedding::double[])) z from l{i} join embeddings on vec_id = try_cast(regexp_extract(o, '([0-9]+)', 1) as bigint) % 500)""" for i in (1, 2))},
+c as (select a.o e1, b.o e2, 1.0::double score from l1 a join l2 b on (a.n = b.n and a.n <> '') or a.o = b.o
+union all select a.o, b.o, list_inner_product(a.v, b.v) / (a.z * b.z) s from v1 a, v2 b where s >= 0.7 - 1e-12)
+select e1, e2, round(max(score), 6) score from c group by all""")
+def kg_match_vectors(spark, sf):
+    f1, f2, _ = both(spark, sf)
+    return scored(kb.match_literals(f1, f2, vectors1=literal_vectors(spark, sf, f1), vectors2=literal_vectors(spark, sf, f2)))
+
+
 @reg.query("kg_align")
 def kg_align(spark, sf):
     f1, f2, s = both(spark, sf)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions import text as tx
+from tripleweave.operators.vectors import cosine_links
 from tripleweave.plans.rounds import cut
 
 INVERSE = "^-1"
@@ -389,8 +390,12 @@ def guarded_merge(scores: DataFrame, new: DataFrame, matches: DataFrame) -> Data
     return max_merge(scores, above)
 
 
-def match_literals(f1: DataFrame, f2: DataFrame, threshold: float = 0.7, q: int = 3) -> DataFrame:
-    """Literal matches: 1 if equal after normalising, else the q-gram cosine from the threshold up.
+def match_literals(
+    f1: DataFrame, f2: DataFrame, threshold: float = 0.7, q: int = 3, vectors1: DataFrame | None = None, vectors2: DataFrame | None = None
+) -> DataFrame:
+    """Literal matches: 1 if equal after normalising, else a cosine from the threshold up.
+
+    The cosine is that of given ``(o, vec)`` tables, or else of q-grams. Literals without a vector match only if equal.
 
     Two gram sets with cosine t have similar sizes and share at least t * t of the larger one,
     so a match shares one of the rarest grams outside that share.
@@ -403,6 +408,10 @@ def match_literals(f1: DataFrame, f2: DataFrame, threshold: float = 0.7, q: int
     l1, l2 = literals(f1, 1), literals(f2, 2)
     equal = l1.where("norm <> ''").join(l2, "norm").select("e1", "e2", F.lit(1.0).alias("score"))
     identical = l1.join(l2, F.col("e1") == F.col("e2")).select("e1", "e2", F.lit(1.0).alias("score"))
+    if vectors1 is not None and vectors2 is not None:
+        own = lambda v, l, i: v.select(F.col("o").alias(f"e{i}"), "vec").join(l, f"e{i}", "left_semi")
+        close = cosine_links(own(vectors1, l1, 1), own(vectors2, l2, 2), threshold, "e1", "e2")
+        return max_merge(equal.unionAll(identical), close.select(F.col("id_1").alias("e1"), F.col("id_2").alias("e2"), "score"))
     grams = lambda l, i: l.where("norm <> ''").select(f"e{i}", F.array_distinct(tx.qgrams(F.col("norm"), q)).alias(f"g{i}"))
     g1, g2 = grams(l1, 1), grams(l2, 2)
     counts = (
