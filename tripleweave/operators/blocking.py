@@ -6,6 +6,7 @@ tables are linked (``clean_clean=True``) and 1 throughout for one dirty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -298,6 +299,12 @@ def overlap_filter_pairs(pairs: DataFrame, *args, **kwargs) -> DataFrame:
 # --- nearest neighbours ----------------------------------------------------------------
 
 
+#: Pivots of a nearest-neighbour search, each a vector on the driver.
+MOST_PIVOTS = 512
+#: Error that squared distances may carry.
+ROUNDING = 1e-9
+
+
 def _search(k: int):
     """k nearest members of one cell chunk for one chunk of queries."""
 
@@ -305,21 +312,17 @@ def _search(k: int):
         if not len(queries) or not len(members):
             return pd.DataFrame({"id_1": [], "id_2": [], "distance": []})
         members = members.sort_values("id")
-        q = np.stack(queries["vec"].to_numpy())
         m = np.stack(members["vec"].to_numpy())
-        ids = members["id"].to_numpy()
+        # Of equal vectors only the k smallest ids can be among the nearest.
+        _, name = np.unique(m, axis=0, return_inverse=True)
+        first = pd.Series(name.ravel()).groupby(name.ravel()).cumcount().to_numpy() < k
+        m, ids = m[first], members["id"].to_numpy()[first]
+        q = np.stack(queries["vec"].to_numpy())
         squared = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2.0 * (q @ m.T)
-        # Members come sorted by id and the sort is stable: ties go to the smaller id. A few
-        # beyond k are kept, as these values are rounded; exact scores are computed later.
-        best = np.argsort(np.round(squared, 12), axis=1, kind="stable")[:, : k + 4]
-        keep = best.shape[1]
-        return pd.DataFrame(
-            {
-                "id_1": np.repeat(queries["id"].to_numpy(), keep),
-                "id_2": ids[best].ravel(),
-                "distance": np.sqrt(np.maximum(np.take_along_axis(squared, best, 1), 0.0)).ravel(),
-            }
-        )
+        # These values are rounded: all within rounding error of the k-th are kept, exact scores come later.
+        last = min(k, len(m)) - 1
+        row, col = np.nonzero(squared <= np.partition(squared, last, axis=1)[:, last : last + 1] + ROUNDING)
+        return pd.DataFrame({"id_1": queries["id"].to_numpy()[row], "id_2": ids[col], "distance": np.sqrt(np.maximum(squared[row, col], 0.0))})
 
     return search
 
@@ -341,11 +344,11 @@ def embedding_blocking(
     metric: str = "cosine",
     id_col: str = "id",
     vec_col: str = "vec",
-    pivots: int = 32,
+    pivots: int | None = None,
 ) -> DataFrame:
     """Exact k nearest rows of ``b`` for every row of ``a``: ``(id_1, id_2, score, rank)``.
 
-    ``b`` is cut into cells around a fixed number of pivots. By the triangle inequality a
+    ``b`` is cut into cells around pivots, about the square root of its rows and ``MOST_PIVOTS`` at most. By the triangle inequality a
     query only visits cells that can hold a neighbour closer than its current k-th one; big
     cells and busy cells are cut into chunks. The score is the cosine, or minus the distance.
     """
@@ -356,7 +359,9 @@ def embedding_blocking(
     right = b.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     id_1, id_2 = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
 
-    # A fixed number of rows comes to the driver: ``pivots`` vectors, later one row per cell.
+    # A bounded number of rows comes to the driver: the pivots, later one row per cell.
+    if pivots is None:
+        pivots = max(32, min(MOST_PIVOTS, math.isqrt(right.count())))
     chosen = right.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     centres = np.array([r["vec"] for r in chosen], dtype="float64")
     if unit:
@@ -436,7 +441,9 @@ def embedding_blocking(
     )
     found = visit(cut(left.join(kth, "id", "left").mapInPandas(route(True), routed), "routes"))
     exact = (
-        found.withColumn("_rn", F.row_number().over(nth)).where(F.col("_rn") <= k + 4)
+        found.withColumn("_rn", F.row_number().over(nth))
+        .withColumn("_k", F.max(F.when(F.col("_rn") <= k, F.col("distance"))).over(Window.partitionBy("id_1")))
+        .where(F.col("distance") * F.col("distance") <= F.col("_k") * F.col("_k") + ROUNDING)
         .join(left.select(F.col("id").alias("id_1"), F.col("vec").alias("_l")), "id_1")
         .join(right.select(F.col("id").alias("id_2"), F.col("vec").alias("_r")), "id_2")
     )
