@@ -93,9 +93,9 @@ SUFFIX_KEYS = (
 )
 
 
-@reg.query("block_suffix", keyed(TURNS, SUFFIX_KEYS, keep="size <= 53"))
+@reg.query("block_suffix", keyed(TURNS, SUFFIX_KEYS))
 def block_suffix(spark, sf):
-    return bl.suffix_arrays_blocking(turns(spark, sf), 6, 53)
+    return bl.suffix_arrays_blocking(turns(spark, sf))
 
 
 SUBSTRING_KEYS = (
@@ -104,9 +104,9 @@ SUBSTRING_KEYS = (
 )
 
 
-@reg.query("block_ext_suffix", keyed(TURNS, SUBSTRING_KEYS, keep="size <= 39"))
+@reg.query("block_ext_suffix", keyed(TURNS, SUBSTRING_KEYS))
 def block_ext_suffix(spark, sf):
-    return bl.extended_suffix_arrays_blocking(turns(spark, sf), 6, 39)
+    return bl.extended_suffix_arrays_blocking(turns(spark, sf))
 
 
 def sql_overlap(expr: str, word: bool, q: int = 3, stop: str | None = None) -> str:

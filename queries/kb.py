@@ -284,10 +284,10 @@ l2 as (select distinct o, array_to_string(list_filter(string_split_regex(lower(o
 h1 as (select o, n, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) g from l1),
 h2 as (select o, n, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) g from l2),
 c as (select h1.o e1, h2.o e2, case when h1.n = h2.n then 1.0 else len(list_intersect(h1.g, h2.g)) / sqrt(len(h1.g) * len(h2.g)) end score from h1, h2)
-select e1, e2, round(score, 6) score from c where score >= 0.93""")
+select e1, e2, round(score, 6) score from c where score >= 0.7""")
 def kg_match_literals(spark, sf):
     f1, f2, _ = both(spark, sf)
-    return scored(kb.match_literals(f1, f2, 0.93))
+    return scored(kb.match_literals(f1, f2))
 
 
 def literal_vectors(spark, sf, facts):

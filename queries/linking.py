@@ -310,6 +310,13 @@ def lk_evaluate(spark, sf):
     return out.withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
 
 
+@reg.query("lk_share", """with g as (select distinct l_orderkey d, l_suppkey u from lineitem where l_tax < 0.05), p as (select distinct l_orderkey d, l_suppkey u from lineitem where l_discount < 0.06)
+select count(p.d) correct, count(*) - count(p.d) wrong, round(count(p.d) / count(*)::double, 6) share from g left join p on p.d = g.d and p.u = g.u""")
+def lk_share(spark, sf):
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("uri"), "l_discount", "l_tax")
+    return lk.linking_share(line.where("l_discount < 0.06"), line.where("l_tax < 0.05")).withColumn("share", r6("share"))
+
+
 @reg.query("lk_pipeline")
 def lk_pipeline(spark, sf):
     ents, rels = link_texts(
@@ -340,9 +347,9 @@ def el_commonness(spark, sf):
 
 
 def entity_texts(spark, sf):
-    """What an entity is about: the benchmark passage that has its name."""
+    """What an entity is about: all benchmark passages that have its name."""
     words = table(spark, sf, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("w"), "text")
-    return words.groupBy(F.concat(F.lit("/"), "w").alias("entity")).agg(F.min("text").alias("text"))
+    return words.select(F.concat(F.lit("/"), "w").alias("entity"), "text").distinct()
 
 
 @reg.query("el_spot")

@@ -201,7 +201,7 @@ def matchers_predict(spark, sf):
 
 @reg.query("select_matcher")
 def select_matcher(spark, sf):
-    return ln.select_matcher(labelled_features(spark, sf), ["DecisionTree", "LogReg"], k=3)
+    return ln.select_matcher(labelled_features(spark, sf))
 
 
 @reg.query("debug_pairs")

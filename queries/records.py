@@ -263,7 +263,7 @@ def profile_customer(spark, sf):
 
 @reg.query("down_sample")
 def down_sample(spark, sf):
-    a, b = pr.down_sample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", 1000, 3)
+    a, b = pr.down_sample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", 20, 3)
     return a.select(F.lit("a").alias("side"), F.col("doc_id").alias("id")).unionByName(b.select(F.lit("b").alias("side"), F.col("item_id").alias("id")))
 
 

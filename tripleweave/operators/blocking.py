@@ -112,7 +112,7 @@ def extended_qgrams_blocking(
 
 def _size_limited(blocks: DataFrame, max_block_size: int | None, clean_clean: bool) -> DataFrame:
     if max_block_size is None:
-        return blocks.select(*BLOCK_COLUMNS)
+        return drop_idle(blocks, clean_clean)
     fitting = block_sizes(blocks, clean_clean).where(F.col("size") <= max_block_size)
     return blocks.join(fitting.select("block_key"), "block_key", "left_semi").select(*BLOCK_COLUMNS)
 

@@ -124,6 +124,14 @@ def evaluate_linking(pred: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def linking_share(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """``(correct, wrong, share)``, one row: how many of all gold links of all texts were found. No gold links: share 0."""
+    per_text = evaluate_linking(pred, gold)
+    sums = per_text.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("correct", "wrong")])
+    asked = F.col("correct") + F.col("wrong")
+    return sums.withColumn("share", F.when(asked > 0, F.col("correct") / asked).otherwise(F.lit(0.0)))
+
+
 # --- dictionary-based annotation -------------------------------------------------------
 
 
@@ -188,12 +196,13 @@ def _context(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def disambiguate(mentions: DataFrame, priors: DataFrame, texts: DataFrame, entity_texts: DataFrame, prior_weight: float = 0.5) -> DataFrame:
     """Best entity per mention: prior blended with the tf-idf cosine of text and entity text.
 
-    Texts and entities are compared once per (text, entity), through their common words.
+    Texts and entities are compared once per (text, entity), through their common words. An entity may have many texts; together
+    they are its context.
     """
     candidates = mentions.join(priors.select("surface", "entity", "prior"), "surface")
     pairs = candidates.select("doc_id", "entity").distinct()
     doc_tf, ent_tf = _context(texts, ["doc_id"], "text"), _context(entity_texts, ["entity"], "text")
-    total = entity_texts.agg(F.count("*").cast("double").alias("n")).scalar()
+    total = entity_texts.agg(F.count_distinct("entity").cast("double").alias("n")).scalar()
     idf = ent_tf.groupBy("w").agg(F.count("*").alias("df")).select("w", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weigh = lambda tf, key: tf.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"))
     d, e = weigh(doc_tf, "doc_id"), weigh(ent_tf, "entity")
