@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.plans.rounds import row_numbers
+from tripleweave.plans.rounds import cut, row_numbers
 
 # Fixed value: a control character stands for NULL, so that a quoted blank stays a blank.
 NO_NULL = "\u0001"
@@ -81,23 +80,28 @@ def check_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, directory: str, sep: str = ",", glob: str = "*.csv") -> DataFrame:
-    """All tables of a directory as cells ``(table, column, value)``.
+    """All tables of a directory as cells ``(table, column, value)``, in one plan for any number of files.
 
-    The headers may differ, so each file is unpivoted by its own header; a file that cannot
-    be read contributes no rows.
+    The headers may differ: the first line of each file is a row of a header table, which the lines meet by file. The files
+    are read once as lines, to learn the widest header, and once as records of that width. Values a short record
+    lacks are ``''``, values beyond its header are left out. A file that cannot be read, or has a header only, contributes no rows.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    paths = [r["path"] for r in listing.load(directory).select("path").collect()]
-    out = spark.createDataFrame([], "table string, column string, value string")
-    for path in sorted(paths):
-        try:
-            df = read_records(spark, path, sep, "UTF-8")
-        except AnalysisException:
-            continue
-        if df.columns:
-            cells = df.unpivot([], df.columns, "column", "value")
-            out = out.unionByName(cells.select(F.lit(path).alias("table"), "column", "value"))
-    return out
+    options = {"pathGlobFilter": glob, "recursiveFileLookup": True, "ignoreCorruptFiles": True}
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.options(**options).text(directory).select(F.col("_metadata.file_path").alias("table"), place.alias("at"), "value")
+    first = lines.groupBy("table").agg(F.min(F.struct("at", "value")).alias("_f"))
+    widest = first.agg(F.max(F.size(F.split("_f.value", f"\\Q{sep}\\E", -1)))).first()[0] or 0
+    if not widest:
+        return spark.createDataFrame([], "table string, column string, value string")
+    names = [f"_c{i}" for i in range(widest)]
+    reader = spark.read.options(**options).option("sep", sep).option("encoding", "UTF-8").option("nullValue", NO_NULL).option("escape", '"')
+    records = reader.schema(", ".join(f"{n} string" for n in names)).csv(directory)
+    records = cut(records.select(F.col("_metadata.file_path").alias("table"), place.alias("at"), F.array(*names).alias("fields")), "records")
+    headers = records.groupBy("table").agg(F.min(F.struct("at", "fields")).alias("_h"))
+    headers = headers.select("table", F.col("_h.at").alias("_first"), F.col("_h.fields").alias("names"))
+    body = records.join(headers, "table").where(F.col("at") != F.col("_first"))
+    cells = body.select("table", F.explode(F.arrays_zip("names", "fields")).alias("_c")).where("_c.names IS NOT NULL")
+    return cells.select("table", F.col("_c.names").alias("column"), F.coalesce("_c.fields", F.lit("")).alias("value"))
 
 
 def pairwise_tables(
