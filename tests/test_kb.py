@@ -125,3 +125,61 @@ def test_literal_matches(spark):
     assert 0.7 <= got[('"Berlin Mitte"', '"Berlin Mitta"')] < 1
     assert len(got) == 2
     assert a.where(F.col("p") == "p^-1").count() == 3
+
+
+def plain_rules(selected, f1, f2, fun, pairs):
+    """Every prefix of every list by itself."""
+    objects = [defaultdict(set), defaultdict(set)]
+    for found, facts in zip(objects, (f1, f2), strict=True):
+        for s, p, o in facts:
+            found[s, p].add(o)
+    lists = defaultdict(list)
+    for r in selected:
+        lists[r["s1"], r["s2"]].append((-min(r["m"], r["q"]), r["rank"], r["o2"], r["q2"], r["o1"], r["q1"], r["m"], r["q"]))
+    best = {}
+    for key, ev in lists.items():
+        ev.sort()
+        for n in range(1, len(ev) + 1):
+            head = ev[:n]
+            o1, o2 = [e[4] for e in head], [e[2] for e in head]
+            if [o1.index(x) for x in o1] != [o2.index(x) for x in o2]:
+                break
+            parts = [1.0, n / sum(1 / e[6] for e in head), n / sum(1 / e[7] for e in head)]
+            for found, o, q in ((objects[0], 4, 5), (objects[1], 2, 3)):
+                parts.append(1 / len(set.intersection(*(found[e[o], e[q]] for e in head))))
+                names = sorted(e[q] for e in head)
+                parts.append(fun.get(names[0], 1.0) if n == 1 else pairs.get(tuple(names), 1.0) if n == 2 else 1.0)
+            best[key] = max(best.get(key, 0.0), min(parts))
+    return {k: v for k, v in best.items() if v > 0}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_equal_scoring_every_prefix(spark, seed):
+    rng = random.Random(seed)
+    sides, triples = [], []
+    for side in "ab":
+        facts = {(f"{side}:h{h}", f"{side}:p{p}", f"{side}:e{i}") for i in range(30) for h in range(9) for p in range(3) if rng.random() < (0.9 if h == 0 else 0.25)}
+        sides.append(sorted(facts))
+        triples.append(cut(spark.createDataFrame(sides[-1], "s string, p string, o string")))
+    selected = []
+    for i in range(30):
+        for j in (i, (i + 7) % 30):
+            mine, theirs = ([f for f in s if f[2] == f"{n}:e{k}"] for s, n, k in zip(sides, "ab", (i, j), strict=True))
+            rng.shuffle(theirs)
+            for rank, (x, y) in enumerate(zip(mine, theirs, strict=False), 1):
+                aligned = [z for z in theirs if z[0][2:] == x[0][2:] and z not in {s[-1] for s in selected if s[0] == (i, j)}]
+                selected.append(((i, j), x, rank, rng.choice([0.4, 0.8, 1.0]), rng.choice([0.5, 1.0]), aligned[0] if aligned and rng.random() < 0.9 else y))
+    width = defaultdict(int)
+    for s in selected:
+        width[s[0]] += 1
+    table = [(x[2], y[2], x[0], x[1], y[0], y[1], m, q, rank, width[key]) for key, x, rank, m, q, y in selected]
+    df = spark.createDataFrame(table, "s1 string, s2 string, o1 string, q1 string, o2 string, q2 string, m double, q double, rank int, max_n long")
+    fun = {f"{n}:p{k}": 0.3 + 0.2 * k for n in "ab" for k in range(3)}
+    pairs = {(f"{n}:p{j}", f"{n}:p{k}"): 0.5 + 0.1 * j + 0.05 * k for n in "ab" for j in range(3) for k in range(j, 3)}
+    want = plain_rules(df.collect(), *sides, fun, pairs)
+    got = kb.apply_rules(
+        df, *triples, spark.createDataFrame(list(fun.items()), "p string, score double"),
+        spark.createDataFrame([(*k, v) for k, v in pairs.items()], "p1 string, p2 string, score double"),
+    )
+    got = {(r["e1"], r["e2"]): r["score"] for r in got.collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

@@ -324,11 +324,36 @@ def select_candidates(evidence: DataFrame, matches: DataFrame) -> DataFrame:
     return free.join(kept, ["s1", "s2"])
 
 
-def _lookup(facts: DataFrame, prefixes: DataFrame, side: int) -> DataFrame:
-    """``(_set, score)`` of the joint local functionality of all distinct evidence sets."""
-    sets = prefixes.select(F.col(f"set{side}").alias("set_id"), F.col(f"ev{side}").alias("_e")).distinct()
-    rows = sets.select("set_id", F.explode("_e").alias("_x")).select("set_id", "_x.s", "_x.p").distinct()
-    return joint_local_functionality(facts, rows).select(F.col("set_id").alias(f"set{side}"), F.col("score").alias(f"l{side}"))
+def _prefix_functionality(facts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(seq, n, score)``: the joint local functionality of the first ``n`` facts of every list, for all ``n`` at once.
+
+    ``rows`` is ``(seq, n, s, p)`` with ``n`` from 1. A list is cut where the least number of objects
+    of its facts so far falls to a lower power of two: at most once per bit of a hub's degree. A
+    section takes the objects of its first fact and finds the first fact that each does not lead to;
+    an object counts for all prefixes before that one. A section of the first fact alone is a count.
+    """
+    sizes = facts.groupBy("s", "p").agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy("seq").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    listed = cut(rows.join(sizes, ["s", "p"]).withColumn("_level", F.floor(F.log2(F.min("_n").over(so_far)))), "prefix_facts")
+    sections = listed.groupBy("seq", "_level").agg(F.min(F.struct("n", "s", "p", "_n")).alias("_l"), F.max("n").alias("_to"))
+    alone = sections.where("_to = 1").select("seq", F.lit(1).alias("n"), (1.0 / F.col("_l._n")).alias("score"))
+
+    members = (
+        sections.where("_to > 1").select("seq", "_level", F.col("_l.n").alias("_from"), "_to", F.col("_l.s").alias("s"), F.col("_l.p").alias("p"))
+        .join(facts, ["s", "p"]).select("seq", "_level", "_from", "_to", "o")
+    )
+    known = facts.withColumn("_there", F.lit(True))
+    asked = members.join(listed.select("seq", "n", "s", "p"), "seq").where("n <= _to").join(known, ["s", "p", "o"], "left")
+    missed = F.min(F.when(F.col("_there").isNull(), F.col("n")))
+    lasts = asked.groupBy("seq", "_level", "_from", "_to", "o").agg((F.coalesce(missed, F.col("_to") + 1) - 1).alias("n")).where("n >= _from")
+    ends = lasts.groupBy("seq", "_level", "n").agg(F.count("*").alias("_c"))
+    later = Window.partitionBy("seq", "_level").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    # every list of evidence has an object that all its facts lead to: the entity itself
+    counted = listed.select("seq", "_level", "n").join(sections.where("_to > 1").select("seq", "_level"), ["seq", "_level"], "left_semi")
+    total = F.sum(F.coalesce("_c", F.lit(0))).over(later)
+    return alone.unionByName(
+        counted.join(ends, ["seq", "_level", "n"], "left").withColumn("_t", total).where("_t > 0").select("seq", "n", (1.0 / F.col("_t")).alias("score"))
+    )
 
 
 def apply_rules(
@@ -338,40 +363,38 @@ def apply_rules(
 
     A prefix counts if both sides repeat objects in the same pattern; its score is the least
     of the harmonic means of object and predicate matches, the joint local functionality on
-    both sides, and the functionality of its one or two predicates (1 beyond that).
+    both sides, and the functionality of its one or two predicates (1 beyond that). Lists stay
+    rows: one row per piece of evidence, with running sums for the prefix that ends in it.
     """
-    order = F.struct((-F.least("m", "q")).alias("w"), "rank", "o2", "q2", "o1", "q1", "m", "q")
-    lists = selected.groupBy("s1", "s2", "max_n").agg(F.array_sort(F.collect_list(order)).alias("ev"))
-    longest = F.least(F.col("max_n").cast("int"), F.size("ev"))
+    pair = Window.partitionBy("s1", "s2")
+    order = [F.desc(F.least("m", "q")), "rank", "o2", "q2", "o1", "q1", "m", "q"]
+    ranked = selected.withColumn("n", F.row_number().over(pair.orderBy(*order))).where("n <= max_n")
     if max_prefix is not None:
-        longest = F.least(F.lit(max_prefix), longest)
-    prefixes = lists.select(
-        "s1", "s2", "ev", F.explode(F.sequence(F.lit(1), longest)).alias("n")
-    ).select("s1", "s2", "n", F.slice("ev", 1, F.col("n")).alias("ev"))
-
-    def pattern(name: str) -> Column:
-        objects = F.transform("ev", lambda e: e[name])
-        return F.transform(objects, lambda o: F.array_position(objects, o))
-
-    def harmonic(name: str) -> Column:
-        return F.col("n") / F.aggregate("ev", F.lit(0.0), lambda acc, e: acc + 1.0 / e[name])
-
-    side = lambda o, q: F.array_sort(F.array_distinct(F.transform("ev", lambda e: F.struct(e[o].alias("s"), e[q].alias("p")))))
-    preds = lambda q: F.array_sort(F.transform("ev", lambda e: e[q]))
-    valid = prefixes.where(pattern("o1") == pattern("o2")).select(
-        "s1", "s2", "n", harmonic("m").alias("hm"), harmonic("q").alias("hq"),
-        side("o1", "q1").alias("ev1"), side("o2", "q2").alias("ev2"), preds("q1").alias("ps1"), preds("q2").alias("ps2"),
-    )
-    valid = valid.withColumn("set1", F.sha2(F.to_json("ev1"), 256)).withColumn("set2", F.sha2(F.to_json("ev2"), 256))
-    valid = cut(valid, "prefixes")
-    out = valid.join(_lookup(f1, valid, 1), "set1").join(_lookup(f2, valid, 2), "set2")
+        ranked = ranked.where(F.col("n") <= max_prefix)
+    # Patterns agree as long as every object stood first at the same place as its partner.
+    for i in (1, 2):
+        ranked = ranked.withColumn(f"_first{i}", F.min("n").over(Window.partitionBy("s1", "s2", f"o{i}")))
+    ranked = ranked.withColumn("_stop", F.min(F.when(F.col("_first1") != F.col("_first2"), F.col("n"))).over(pair))
+    so_far = pair.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    valid = ranked.where("_stop IS NULL OR n < _stop")
+    for name in ("m", "q"):
+        valid = valid.withColumn(f"h{name}", F.col("n") / F.sum(1.0 / F.col(name)).over(so_far))
     for i in (1, 2):
+        # Equal lists of one side are looked up once; two 64-bit sums name a list.
+        parts = [F.sum(F.xxhash64(*k, "n", f"o{i}", f"q{i}").cast("decimal(20,0)")).over(pair).cast("string") for k in ([], [F.lit(1)])]
+        valid = valid.withColumn(f"seq{i}", F.concat_ws(":", *parts)).withColumn(f"_before{i}", F.lag(f"q{i}").over(pair.orderBy("n")))
+    valid = cut(valid.select("s1", "s2", "n", "hm", "hq", "o1", "q1", "o2", "q2", "seq1", "seq2", "_before1", "_before2"), "prefixes")
+    out = valid
+    for i, facts in ((1, f1), (2, f2)):
+        lists = valid.select(F.col(f"seq{i}").alias("seq"), "n", F.col(f"o{i}").alias("s"), F.col(f"q{i}").alias("p")).distinct()
+        local = _prefix_functionality(facts, lists).select(F.col("seq").alias(f"seq{i}"), "n", F.col("score").alias(f"l{i}"))
         one = functionalities.select(F.col("p").alias(f"_p{i}"), F.col("score").alias(f"_one{i}"))
         two = pair_functionalities.select(F.col("p1").alias(f"_a{i}"), F.col("p2").alias(f"_b{i}"), F.col("score").alias(f"_two{i}"))
         out = (
-            out.withColumn(f"_p{i}", F.when(F.col("n") == 1, F.get(F.col(f"ps{i}"), F.lit(0))))
-            .withColumn(f"_a{i}", F.when(F.col("n") == 2, F.get(F.col(f"ps{i}"), F.lit(0))))
-            .withColumn(f"_b{i}", F.when(F.col("n") == 2, F.get(F.col(f"ps{i}"), F.lit(1))))
+            out.join(local, [f"seq{i}", "n"])
+            .withColumn(f"_p{i}", F.when(F.col("n") == 1, F.col(f"q{i}")))
+            .withColumn(f"_a{i}", F.when(F.col("n") == 2, F.least(f"q{i}", f"_before{i}")))
+            .withColumn(f"_b{i}", F.when(F.col("n") == 2, F.greatest(f"q{i}", f"_before{i}")))
             .join(one, f"_p{i}", "left").join(two, [f"_a{i}", f"_b{i}"], "left")
             .withColumn(f"f{i}", F.coalesce(f"_one{i}", f"_two{i}", F.lit(1.0)))
         )
