@@ -112,6 +112,24 @@ def rdfs_closure(spark, sf):
     return rs.materialise(hierarchy(spark, sf))
 
 
+@reg.query("owl_same_as", f"""with c as (select 'urn:c/' || c_custkey node, c_nationkey n from customer), r as (select n, min(node) rep, count(*) k from c group by 1)
+select node s, '{OWL}sameAs' p, rep o from c join r using (n) where node <> rep
+union select rep, 'urn:livesIn', 'urn:n/' || n from r union select 'urn:o/' || o_orderkey, 'urn:by', rep from orders join c on node = 'urn:c/' || o_custkey join r using (n)
+union select rep, 'urn:ordered', 'urn:o/' || o_orderkey from orders join c on node = 'urn:c/' || o_custkey join r using (n)
+union values ('urn:livesIn', '{RDF_TYPE}', '{OWL}InverseFunctionalProperty'), ('urn:by', '{rs.INVERSE_OF}', 'urn:ordered')""")
+def owl_same_as(spark, sf):
+    """Customers made equal by their nation: classes that grow with the table, each class once and its members beside it."""
+    c, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    iri = lambda prefix, k: F.concat(F.lit(prefix), F.col(k).cast("string"))
+    t = c.select(iri("urn:c/", "c_custkey").alias("s"), F.lit("urn:livesIn").alias("p"), iri("urn:n/", "c_nationkey").alias("o"))
+    t = t.unionByName(orders.select(iri("urn:o/", "o_orderkey").alias("s"), F.lit("urn:by").alias("p"), iri("urn:c/", "o_custkey").alias("o")))
+    for s, p, o in (("urn:livesIn", RDF_TYPE, OWL + "InverseFunctionalProperty"), ("urn:by", rs.INVERSE_OF, "urn:ordered")):
+        t = t.unionByName(c.agg(F.count("*")).select(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o")))
+    facts, members = rs.closure(t)
+    equal = members.where("node <> rep").select(F.col("node").alias("s"), F.lit(rs.SAME).alias("p"), F.col("rep").alias("o"))
+    return facts.where((F.col("p") != rs.SAME) | (F.col("s") != F.col("o"))).unionByName(equal)
+
+
 @reg.query("owl_inconsistent", f"""with t as (select distinct 'urn:c/' || c_custkey x, 'urn:g/' || c_mktsegment c from customer union select 'urn:c/' || c_custkey, 'urn:Debtor' from customer where c_acctbal < 0),
 line as (select distinct 'urn:p/' || l_partkey s, 'urn:p/' || l_suppkey o from lineitem)
 select distinct 'disjoint classes' rule, x subject, 'urn:Debtor' detail from t where c = 'urn:g/MACHINERY' and x in (select x from t where c = 'urn:Debtor')
