@@ -1,6 +1,6 @@
 import random
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 from conftest import rows
@@ -46,6 +46,27 @@ def test_pair_functionality_equals_listing_all_pairs(spark, seed):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("predicates", [["p"], ["p", "q"], ["p", "p"], ["p", "p", "q"], ["p", "q", "r"], ["q", "q", "q"], ["none"], ["p", "none"]])
+def test_functionality_of_equals_listing_all_tuples(spark, predicates):
+    rng = random.Random(7)
+    made = {(f"s{s}", p, f"o{o}") for s in range(7) for p in "pqr" for o in range(9) if rng.random() < 0.3}
+    made |= {(s, p, f"h{o}") for s in ("s0", "s1") for p in "pq" for o in range(12)}  # interchangeable objects
+    facts = spark.createDataFrame([(s, inverse(p), o) for s, p, o in sorted(made)], "s string, p string, o string")
+    listed = []
+    for s in sorted({f[0] for f in made}):
+        per = [combinations(sorted(o for x, q, o in made if (x, q) == (s, p)), predicates.count(p)) for p in sorted(set(predicates))]
+        listed += [tuple(sorted(sum(parts, ()))) for parts in product(*per)]
+    want = len(set(listed)) / len(listed) if listed else 0.0
+    assert abs(kb.functionality_of(facts, predicates).first()["score"] - want) < 1e-12
+
+
+def test_functionality_of_a_hub_lists_no_tuples(spark):
+    facts = spark.range(3000).selectExpr("explode(array('a', 'b')) AS s", "id").selectExpr("s", "explode(array('p^-1', 'q^-1', 'r^-1')) AS p", "concat('o', id) AS o")
+    n = 3000
+    # Of the n^3 ordered choices of each subject the distinct multisets are those of size 3 out of n.
+    assert abs(kb.functionality_of(facts, ["p", "q", "r"]).first()["score"] - (n * (n + 1) * (n + 2) / 6) / (2 * n**3)) < 1e-12
+
+
 def setting(spark):
     f1, f2 = (cut(kb.load_facts(random_kb(spark, s, side))) for s, side in ((1, "a"), (2, "b")))
     seeds = spark.createDataFrame([(f'"n{i}"', f'"n{i}"', 1.0) for i in range(9)] + [("a:c0", "b:c0", 0.8), ("a:t0", "b:t0", 0.7)], "e1 string, e2 string, score double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.functions import text as tx
 from tripleweave.operators.vectors import cosine_links
-from tripleweave.plans.rounds import cut
+from tripleweave.plans.rounds import cut, top_per_group
 
 INVERSE = "^-1"
 #: Facts that lead to more candidates than this are looked up before they are expanded; the selection stays the same.
@@ -87,18 +87,53 @@ def functionality_pairs(facts: DataFrame) -> DataFrame:
     )
 
 
+def _choices(n: Column, k: int) -> Column:
+    """Ways to take ``k`` of ``n``, as a double."""
+    out = F.lit(1.0)
+    for i in range(k):
+        out = out * F.greatest(n - i, F.lit(0)) / (i + 1)
+    return out
+
+
 def functionality_of(facts: DataFrame, predicates: list[str]) -> DataFrame:
-    """One row ``(score)``: the same for one given predicate multiset of any size."""
+    """One row ``(score)``: the same for one given predicate multiset of any size; 0.0 if no subject has it.
+
+    Tuples of objects are counted, not listed. Their number follows from the counts per subject. For
+    the distinct ones, objects reached by exactly the same facts are one class and can stand for one
+    another: with as many objects of a class as there are predicates, every kind of tuple occurs, and
+    a kind stands for as many tuples as there are ways to fill it from its classes. Two 64-bit sums
+    over its facts name a class.
+    """
+    k = len(predicates)
     f = facts.select("s", invert(F.col("p")).alias("p"), "o").where(F.col("p").isin(*set(predicates)))
+    reached = [F.sum(F.xxhash64(*salt, "s", "p").cast("decimal(20,0)")).cast("string") for salt in ([], [F.lit(1)])]
+    objects = cut(f.groupBy("o").agg(F.concat_ws(":", *reached).alias("c")), "object_classes")
+    sizes = objects.groupBy("c").agg(F.count("*").alias("n"))
+    few = top_per_group(objects, ["c"], [F.col("o")], k, ["o"]).join(sizes, "c")
+    shown = cut(f.join(few, "o").select("s", "p", F.struct("c", "n", "o").alias("x")), "shown")
     joined, names = None, []
     for i, p in enumerate(sorted(predicates)):
-        part = f.where(F.col("p") == p).select("s", F.col("o").alias(f"o{i}"))
+        part = shown.where(F.col("p") == p).select("s", F.col("x").alias(f"x{i}"))
         joined = part if joined is None else joined.join(part, "s")
         if i and sorted(predicates)[i - 1] == p:
-            joined = joined.where(F.col(f"o{i - 1}") < F.col(f"o{i}"))
-        names.append(f"o{i}")
-    tuples = joined.groupBy(F.array_sort(F.array(*names)).alias("t")).agg(F.count("*").alias("n"))
-    return tuples.agg(F.coalesce(F.count("*") / F.sum("n"), F.lit(0.0)).alias("score"))
+            joined = joined.where(F.col(f"x{i - 1}.o") < F.col(f"x{i}.o"))
+        names.append(f"x{i}")
+    tuples = joined.select(F.array(*names).alias("t"))
+    # A kind: per class, how often each of its objects stands in the tuple.
+    kinds = tuples.select(F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct(
+        x["c"].alias("c"), x["n"].alias("n"), F.size(F.filter("t", lambda y: y["o"] == x["o"])).alias("m")
+    ))).alias("kind")).distinct()
+    earlier = lambda i, same: F.size(F.filter(F.slice("kind", 1, i), same))
+    ways = F.transform("kind", lambda e, i: (e["n"] - earlier(i, lambda y: y["c"] == e["c"])) / (
+        1 + earlier(i, lambda y: (y["c"] == e["c"]) & (y["m"] == e["m"]))
+    ))
+    distinct = kinds.agg(F.sum(F.aggregate(ways, F.lit(1.0), lambda acc, w: acc * w)).alias("_d"))
+    combos = F.lit(1.0)
+    for p in sorted(set(predicates)):
+        combos = combos * _choices(F.count(F.when(F.col("p") == p, 1)), predicates.count(p))
+    total = f.groupBy("s").agg(combos.alias("_w")).agg(F.sum("_w").alias("_t"))
+    both = distinct.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")  # one row each
+    return both.select(F.when(F.col("_t") > 0, F.col("_d") / F.col("_t")).otherwise(0.0).alias("score"))
 
 
 def merge_functionality(f1: DataFrame, f2: DataFrame, keys: list[str]) -> DataFrame:
