@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tripleweave.functions import text as tx
 
@@ -144,14 +146,24 @@ def commonness(anchors: DataFrame) -> DataFrame:
 
 def _tokens_with_offsets(texts: DataFrame) -> DataFrame:
     """``(doc_id, pos, token, start)``: blank-separated words with their character offsets."""
-    parts = F.split("text", " ")
-    with_offsets = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int>>").alias("out")),
-        lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(w.alias("token"), s["at"].alias("start")))).alias("out")),
-        lambda s: s["out"],
-    )
-    return texts.select("doc_id", F.posexplode(with_offsets).alias("pos", "x")).select("doc_id", "pos", "x.token", "x.start")
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    words = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    return words.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)).cast("int"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _without_overlap(pos: pd.Series, n: pd.Series) -> pd.Series:
+    """Places of the hits to keep. Longest first, so a kept hit that overlaps another covers one of its ends."""
+
+    def of_text(starts, sizes):
+        taken, kept = set(), []
+        for i, (a, k) in enumerate(zip(starts, sizes, strict=True)):
+            if a not in taken and a + k - 1 not in taken:
+                kept.append(i)
+                taken.update(range(a, a + k))
+        return kept
+
+    return pd.Series([of_text(a, k) for a, k in zip(pos, n, strict=True)])
 
 
 def spot_mentions(texts: DataFrame, surfaces: DataFrame, n: int | None = None) -> DataFrame:
@@ -159,7 +171,7 @@ def spot_mentions(texts: DataFrame, surfaces: DataFrame, n: int | None = None) -
 
     Of overlapping ones the longer, then the earlier stays. N-grams of a text are built from
     its own words by window offsets, up to the words of the longest surface form unless ``n`` is
-    given; the dictionary is met by an equi-join.
+    given; the dictionary is met by an equi-join. Work grows with the words of a text; ``doc_id`` names one text.
     """
     n = n or surfaces.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     toks = _tokens_with_offsets(texts)
@@ -180,12 +192,7 @@ def spot_mentions(texts: DataFrame, surfaces: DataFrame, n: int | None = None) -
     order = F.struct((-F.col("n")).alias("k"), "pos", "n", "start", "length", "surface")
     listed = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("h"))
     # Longest first; a hit stays if no kept one overlaps it. The list is that of one text.
-    kept = F.aggregate(
-        "h", F.slice("h", 1, 0),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda y: (x["pos"] < y["pos"] + y["n"]) & (y["pos"] < x["pos"] + x["n"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    kept = F.transform(_without_overlap(F.col("h.pos"), F.col("h.n")), lambda i: F.get("h", i))
     return listed.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start", "x.length", "x.surface")
 
 
