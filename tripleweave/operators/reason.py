@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.operators.cluster import connected_components
@@ -47,8 +47,10 @@ def _represented(facts: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("s", "p", "o").unionAll(equal).distinct()
 
 
-def _schema(facts: DataFrame, members: DataFrame) -> DataFrame:
+def _schema(facts: DataFrame, members: DataFrame | None) -> DataFrame:
     """Axioms about properties. A predicate keeps its own name in facts, so here properties stand under all their names."""
+    if members is None:
+        return facts.where(F.col("p").isin(SUB_PROPERTY, INVERSE_OF, DOMAIN, RANGE) | ((F.col("p") == RDF_TYPE) & F.col("o").isin(KINDS)))
     properties = _named(_named(facts.where(F.col("p").isin(SUB_PROPERTY, INVERSE_OF)), members, "s"), members, "o")
     typed = _named(facts.where(F.col("p").isin(DOMAIN, RANGE)), members, "s")
     kinds = facts.where(F.col("p") == RDF_TYPE).join(
@@ -96,10 +98,8 @@ def _derive(new: DataFrame, known: DataFrame, new_axioms: DataFrame, axioms: Dat
     return rows
 
 
-def _links(facts: DataFrame) -> DataFrame:
-    return facts.where((F.col("p") == SAME) & F.expr(NODE) & (F.col("s") != F.col("o"))).select(
-        F.col("s").alias("id_1"), F.col("o").alias("id_2"), F.lit(1.0).alias("weight")
-    )
+def _is_link() -> Column:
+    return (F.col("p") == SAME) & F.expr(NODE) & (F.col("s") != F.col("o"))
 
 
 def closure(triples: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -114,29 +114,31 @@ def closure(triples: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataF
     renamed and the renamed ones count as new. Statements that something equals itself are not derived.
     """
     given = cut(triples.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct(), "closure")
-    members = given.select(F.col("s").alias("node"), F.col("s").alias("rep")).limit(0)
-    parts, known, axioms = [], given.limit(0), given.limit(0)
-    new = given
+    members, axioms = None, given.limit(0)
+    parts, known = [], given.limit(0)
+    new, links = given, given.where(_is_link()).count()
     for _ in range(max_rounds):
-        links = _links(new)
-        if not links.isEmpty():
-            edges = links.unionAll(members.where("node <> rep").select("node", "rep", F.lit(1.0)))
+        if links:
+            edges = new.where(_is_link()).select(F.col("s").alias("id_1"), F.col("o").alias("id_2"), F.lit(1.0).alias("weight"))
+            if members is not None:
+                edges = edges.unionAll(members.where("node <> rep").select("node", "rep", F.lit(1.0)))
             members = cut(connected_components(edges).select(F.col("id").alias("node"), F.col("cluster").alias("rep")), "equal")
             renamed = cut(_represented(known.unionAll(new), members), "closure")
             new = cut(renamed.join(known, ["s", "p", "o"], "left_anti"), "closure")
             parts, known = [renamed], renamed
+            before, axioms = axioms, cut(_schema(known, members), "axioms")
+            new_axioms = cut(axioms.join(before, ["s", "p", "o"], "left_anti"), "axioms")
         else:
             parts.append(new)
             known = known.unionAll(new)
             if len(parts) % 8 == 0:
                 known = cut(known, "closure")  # keep the scan list short
-        found = cut(_schema(known, members), "axioms")
-        new_axioms = cut(found.join(axioms, ["s", "p", "o"], "left_anti"), "axioms")
-        axioms = found
+            axioms, new_axioms = _schema(known, members), _schema(new, members)
         derived = _derive(new, known, new_axioms, axioms).distinct()
         new = cut(derived.join(known, ["s", "p", "o"], "left_anti").where((F.col("p") != SAME) | (F.col("s") != F.col("o"))), "closure")
-        if new.isEmpty():
-            return known, members
+        found, links = new.agg(F.count("*"), F.count(F.when(_is_link(), 1))).first()
+        if not found:
+            return known, given.select(F.col("s").alias("node"), F.col("s").alias("rep")).limit(0) if members is None else members
     raise RuntimeError("closure: still deriving after max_rounds")
 
 
@@ -161,7 +163,7 @@ def materialise(triples: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     full = with_names(*closure(triples, max_rounds))
     given = triples.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
-    return full.unionAll(given.where((F.col("p") == SAME) & (F.col("s") == F.col("o")))).distinct()
+    return full.unionAll(given.where((F.col("p") == SAME) & (F.col("s") == F.col("o"))).distinct())
 
 
 def inconsistencies(triples: DataFrame) -> DataFrame:
