@@ -42,6 +42,17 @@ def over_texts(
     return docs.mapInArrow(run, schema)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has a column of that name in any case."""
+    there = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.common import id_text, slices
+from tripleweave.llm.common import id_text, slices, unused
 from tripleweave.llm.line_dedup import small
 from tripleweave.plans.rounds import cut
 
@@ -234,14 +234,15 @@ def _span_cutter(names, hits_of):
 
 def _in_blocks(docs: DataFrame, benchmark: DataFrame, remove: str, max_hit_share: float, n: int, block_words: int) -> DataFrame:
     """As ``decontaminate``, a scan per block: rows are numbered once, and the findings of all blocks meet by number."""
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = find_contamination(numbered, benchmark, n, id_col="_row", block_words=block_words)
+    row, hits = unused(docs, "_row", "_hits")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = find_contamination(numbered, benchmark, n, id_col=row, block_words=block_words)
     if remove != "spans":
-        gone = cut(found.where(n_hit_words() > F.lit(max_hit_share) * F.col("n_words")).select(F.col("doc_id").alias("_row")), "contaminated")
-        return numbered.join(small(gone), "_row", "left_anti").select(*docs.columns)
-    spans = cut(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_row"), F.col("hits").alias("_hits")), "hits")
-    rows = numbered.join(small(spans), "_row", "left").select(*docs.columns, "_hits")
-    return rows.mapInArrow(_span_cutter(docs.columns, lambda part: part.column("_hits").to_pylist()), docs.schema)
+        gone = cut(found.where(n_hit_words() > F.lit(max_hit_share) * F.col("n_words")).select(F.col("doc_id").alias(row)), "contaminated")
+        return numbered.join(small(gone), row, "left_anti").select(*docs.columns)
+    spans = cut(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(row), F.col("hits").alias(hits)), "hits")
+    rows = numbered.join(small(spans), row, "left").select(*docs.columns, hits)
+    return rows.mapInArrow(_span_cutter(docs.columns, lambda part: part.column(hits).to_pylist()), docs.schema)
 
 
 def decontaminate(

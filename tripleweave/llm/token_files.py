@@ -8,6 +8,8 @@ documents or of the metadata alone skip the rest.
 White space separates words before any merge and gives no ids itself, so every white-space piece is
 encoded once by the library and its ids are kept in a bounded cache of the Python worker.
 
+Names of special tokens in a text give their ids, as the library does it by default.
+
 Defined cases: null is the empty text and holds the end id alone; repeated doc_ids stand side by
 side in text order, each row by itself; a null doc_id comes first; an empty table writes files
 without rows.
@@ -40,7 +42,6 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # the names of special tokens in a text are text
         self.pieces = regex.compile(r"[^\p{White_Space}]+").findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -130,8 +131,8 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     read = rows.mapInArrow(run, f"doc_id {kind}, file string, at long, n_tokens long, ids_crc32 long")
     meta = spark.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"))
-    # names of parts follow the order of ranges; one row per file here
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # numbers of parts follow the order of ranges, names only up to five digits; one row per file here
+    before = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = meta.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(
         "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
     )
