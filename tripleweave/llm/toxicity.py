@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.common import id_text, slices
+from tripleweave.plans.rounds import cut
 
 MAX_EXAMPLES = 8192
 MAX_TERMS = 512
@@ -167,11 +168,17 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES,
     max_terms: int = MAX_TERMS, k: int = NEAREST,
 ) -> Model:
-    """Fit on at most ``max_examples`` rows of ``labels (doc_id, toxic)``; frequencies come from all of ``docs``."""
+    """Fit on at most ``max_examples`` labelled rows of ``docs``; frequencies come from all of ``docs``.
+
+    Labels without a document take no place in the sample. Equal rows of one doc_id are one example; an id with
+    several labels is toxic if one of them says so.
+    """
     texts = id_text(docs, id_col, text)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    examples = texts.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # at most max_examples rows
+    labelled = texts.where("text IS NOT NULL").join(known, "doc_id").withColumn("_at", F.xxhash64("text"))
+    sample = cut(labelled.select("doc_id", "_at", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_at").limit(max_examples), "sample")
+    found = texts.withColumn("_at", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "_at"])  # at most max_examples rows
+    examples = cut(found.dropDuplicates(["doc_id", "_at"]).select("doc_id", "text", "toxic"), "examples")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     rate = n_toxic / (n_toxic + n_clean) if sizes else 0.0
@@ -209,7 +216,7 @@ def fit(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = examples.select("doc_id", "toxic", "text").mapInArrow(counted, f"doc_id {kind}, toxic int, at array<int>, n array<int>").collect()
     vectors = [(r["doc_id"], r["toxic"], dict(zip(r["at"], r["n"], strict=True))) for r in rows]
-    return Model(terms, idf, sorted(vectors, key=lambda x: str(x[0])), k, rate)
+    return Model(terms, idf, sorted(vectors, key=lambda x: (str(x[0]), sorted(x[2].items()))), k, rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", evidence: int = 3) -> DataFrame:
