@@ -175,7 +175,7 @@ def fit(
     """
     texts = id_text(docs, id_col, text)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    labelled = texts.where("text IS NOT NULL").join(known, "doc_id").withColumn("_at", F.xxhash64("text"))
+    labelled = texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_at")).join(known, "doc_id")  # no text is shuffled
     sample = cut(labelled.select("doc_id", "_at", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_at").limit(max_examples), "sample")
     found = texts.withColumn("_at", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "_at"])  # at most max_examples rows
     examples = cut(found.dropDuplicates(["doc_id", "_at"]).select("doc_id", "text", "toxic"), "examples")
