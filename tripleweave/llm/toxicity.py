@@ -1,38 +1,55 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-1. Examples: a bounded, hash-ordered sample of the labelled rows (``max_examples``).
-2. Terms: words that are significantly more frequent in toxic examples (log-likelihood ratio over
-   a threshold that grows with the vocabulary, and at least twice the rate of clean ones).
-3. Document frequencies of the terms are counted over all documents.
-4. The examples' unit vectors lie in blocks with the largest weight of each term in each block. A
-   query bounds every block's cosine from these, visits blocks from the highest bound on, and stops
-   when no block can hold a nearer example: the k nearest are exact.
-5. Votes are weighted by the cosine; a monotone fit on the examples, each without itself, turns the
-   vote into a probability. Documents without any term get the rate of such examples.
-
-Defined cases: null and empty texts have no term and get that rate; labels that are null, or of ids
-without a document, are not used; a document labelled both ways counts as toxic; repeated rows are
-scored each by itself; without labelled rows of both kinds every score is the known rate, or 0.
+1. Examples: a bounded, hash-ordered sample of the labelled rows (``max_examples`` rows, ``max_chars``
+   code points; rows behind either bound are left out, no text is cut).
+2. Terms: every word of the examples. Document frequencies are counted over all documents.
+3. Weight of a term in a text: ``(1 + log tf) * idf * (1 + z^2)``, where z says by how many standard
+   deviations toxic examples hold the term more often than all examples (0 if they do not). No term is left out.
+4. The examples' unit vectors are an inverted index: a term's postings lie in blocks of examples, each with
+   its largest weight. A query adds up what the most frequent terms give every example and bounds each block
+   with the other terms' largest weights; it scores the blocks of the highest bounds, then all blocks whose
+   bound reaches the k-th cosine found: the k nearest and their ties are exact.
+5. Votes are weighted by the cosine; a monotone fit on the examples, each without itself (neither among
+   its neighbours nor in the z of its terms), turns the vote into a probability.
+
+Words that no example holds would scale all cosines of a text alike: order and votes do not depend on them, the
+cosines of the evidence are those without them.
+
+Defined cases: null and empty texts, and texts without any word of the examples, get the rate of such
+examples, or of all examples if there is none; labels that are null, or of ids without a document, are not
+used; a document labelled both ways counts as toxic; repeated rows are scored each by itself; examples that
+tie with the k-th vote too; without labelled rows of both kinds every score is the known rate, or 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.llm.common import id_text, slices
 from tripleweave.plans.rounds import cut
 
 MAX_EXAMPLES = 8192
-MAX_TERMS = 512
+#: Of all examples together; bounds the vocabulary and the index sent to the tasks.
+MAX_CHARS = 1 << 26
 NEAREST = 25
-BLOCK = 64
+#: Examples of a block.
+BLOCK = 128
+#: Blocks that are scored before the others are judged by their bounds.
+FIRST = 4
+#: Terms whose lists are kept as rows over all examples, at most; changes the work, not the result.
+FULL_TERMS = 1024
+#: Texts scored together.
+GROUP = 64
+#: Scores kept per task for texts of equal counts; only saves time.
+KEPT = 10_000
 CUT = 0.3
 
 _WORD_BYTES = bytes(
@@ -44,34 +61,99 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-class BlockMaxIndex:
-    """Unit vectors of examples over few terms, in blocks, with each block's largest weight per term."""
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the length of each range."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths), lengths
+
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: list):
-        order = np.lexsort((np.arange(len(vectors)), vectors.argmax(axis=1) if len(vectors) else np.zeros(0)))
-        self.vectors, self.labels, self.ids = vectors[order], labels[order], [ids[i] for i in order]
-        self.starts = np.arange(0, len(vectors), BLOCK)
-        self.most = np.maximum.reduceat(self.vectors, self.starts, axis=0) if len(vectors) else np.zeros((0, vectors.shape[1]))
+class BlockMaxIndex:
+    """Postings of unit vectors by term and block of examples, each block with its largest weight."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        """``vectors``: term numbers and weights of each example; neighbours in this order share blocks."""
+        self.size, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
+        lengths = np.array([len(at) for at, _ in vectors], dtype=np.int64)
+        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(self.size), lengths)
+        order = np.lexsort((row, term))
+        term, self.row = term[order], row[order].astype(np.int32)
+        self.weight = (np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0))[order].astype(np.float32)
+        key = term * max(1, self.n_blocks) + self.row // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (key[first] % max(1, self.n_blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.postings = np.append(first, len(key))  # of a block entry
+        self.entries = np.searchsorted(key[first] // max(1, self.n_blocks), np.arange(n_terms + 1))  # of a term
+
+        held = np.diff(self.postings[self.entries])
+        common = np.argsort(-held, kind="stable")[:FULL_TERMS]
+        self.full = np.sort(common[held[common] * 32 >= self.size]) if self.size else np.zeros(0, np.int64)
+        self.full_row = np.full(n_terms, -1, dtype=np.int32)
+        self.full_row[self.full] = np.arange(len(self.full))
+        self.rows = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rows": None}
+
+    def _full_rows(self) -> np.ndarray:
+        """The lists of the most frequent terms, which leave out few blocks, as rows over all examples."""
+        if self.rows is None:
+            self.rows = np.zeros((len(self.full), self.size))
+            for row, term in enumerate(self.full.tolist()):
+                at = slice(self.postings[self.entries[term]], self.postings[self.entries[term + 1]])
+                self.rows[row, self.row[at]] = self.weight[at]
+        return self.rows
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the highest positive cosine and all that tie with the last of them; exact."""
-        bounds = self.most[:, terms] @ weights
-        best: list[tuple[float, int]] = []
-        for block in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
-            if bounds[block] <= 0 or (len(best) >= k and bounds[block] < best[k - 1][0] - 1e-9):
-                break
-            start = int(self.starts[block])
-            scores = self.vectors[start : start + BLOCK, terms] @ weights
-            best += [(s, start + i) for i, s in enumerate(scores.tolist()) if s > 0 and start + i != skip]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            if len(best) > k:
-                best = [x for x in best if x[0] >= best[k - 1][0] - 1e-9]
-        return best
+        return next(self.nearest_each([(terms, weights, skip)], k))
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of every ``(terms, weights, skip)``; frequent terms are added up for a group of queries at once."""
+        rows = self._full_rows()
+        for at in range(0, len(queries), GROUP):
+            group = queries[at : at + GROUP]
+            dense = np.zeros((len(group), len(rows)))
+            for i, (terms, weights, _) in enumerate(group):
+                row = self.full_row[terms]
+                dense[i, row[row >= 0]] = weights[row >= 0]
+            base = dense @ rows
+            for (terms, weights, skip), scores in zip(group, base, strict=True):
+                rare = self.full_row[terms] < 0
+                yield self._best(terms[rare], weights[rare], scores, k, skip)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """The best examples, given what the frequent terms add to the ``scores`` and the other terms."""
+        if not self.size:
+            return []
+        entry, lengths = _ranges(self.entries[terms], self.entries[terms + 1])
+        weight, block = np.repeat(weights, lengths), self.block[entry]
+        bounds = np.maximum.reduceat(scores, np.arange(0, self.size, BLOCK)) + np.bincount(block, self.most[entry] * weight, self.n_blocks)
+
+        def look(wanted: np.ndarray) -> float:
+            held = wanted[block]
+            at, n = _ranges(self.postings[entry[held]], self.postings[entry[held] + 1])
+            scores[:] += np.bincount(self.row[at], self.weight[at] * np.repeat(weight[held], n), self.size)
+            if skip >= 0:
+                scores[skip] = -1.0
+            return float(np.partition(scores, -k)[-k]) if self.size > k else 0.0
+
+        first = np.zeros(self.n_blocks, dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        least = look(first)
+        left = ~first & (bounds > 0) & (bounds >= least - 1e-6)
+        if left.any():
+            least = look(left)
+        found = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
+        found = found[np.lexsort((found, -scores[found]))]
+        return list(zip(scores[found].tolist(), found.tolist(), strict=True))
 
 
 def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float | None:
     total = sum(s for s, _ in found)
-    return sum(s * labels[i] for s, i in found) / total if total else None
+    return round(sum(s * labels[i] for s, i in found) / total, 9) if total > 0 else None
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,132 +173,136 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What the tasks need: terms, their idf, the index and the fitted rates."""
+    """What the tasks need: terms and their weights, the index, the examples' labels and the fitted rates."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple], k: int, no_vote: float):
-        self.terms, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf, k
-        with_terms = [(self.weigh(counts), label, i) for i, label, counts in examples]
-        with_terms = [x for x in with_terms if x[0] is not None]
-        dense = np.zeros((len(with_terms), max(1, len(terms))))
-        for row, ((at, weights), _, _) in enumerate(with_terms):
-            dense[row, at] = weights
-        self.index = BlockMaxIndex(dense, np.array([x[1] for x in with_terms], dtype=float), [x[2] for x in with_terms])
-        without = [label for _, label, counts in examples if self.weigh(counts) is None]
+        """``examples``: (id, label, {term number: count})."""
+        self.words, self.idf, self.k, self.numbers = terms, idf, k, None
+        self.toxic, self.held = np.zeros(len(terms)), np.zeros(len(terms))
+        self.n_toxic, self.n = float(sum(label for _, label, _ in examples)), float(len(examples))
+        for _, label, counts in examples:
+            at = np.fromiter(counts, np.int64, len(counts))
+            self.held[at] += 1
+            self.toxic[at] += label
+        known = [(i, label, counts, self.weigh(counts)) for i, label, counts in examples if counts]
+        known.sort(key=lambda x: int(x[3][0][np.argmax(x[3][1])]))  # examples of one strongest term share blocks
+        self.ids, self.labels = [x[0] for x in known], np.array([x[1] for x in known], dtype=float)
+        self.index = BlockMaxIndex([x[3] for x in known], len(terms))
+        without = [label for _, label, counts in examples if not counts]
         self.no_vote = (sum(without) + 0.5) / (len(without) + 1) if without else no_vote
-        votes, labels = [], []
-        for row in range(len(self.index.labels)):
-            at = np.flatnonzero(self.index.vectors[row])
-            v = vote(self.index.nearest(at, self.index.vectors[row, at], k, skip=row), self.index.labels)
-            if v is not None:
-                votes.append(v)
-                labels.append(self.index.labels[row])
+        queries = ((*self.weigh(counts, label), row) for row, (_, label, counts, _) in enumerate(known))
+        found = [vote(x, self.labels) for x in self.index.nearest_each(list(queries), k)]
+        votes, labels = [v for v in found if v is not None], [y for v, y in zip(found, self.labels, strict=True) if v is not None]
         self.tops, self.rates = monotone(np.array(votes), np.array(labels)) if votes else (np.zeros(0), np.zeros(0))
 
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        if not counts:
-            return None
-        at = np.array(sorted(counts))
-        weights = np.array([1 + math.log(counts[i]) for i in at.tolist()]) * self.idf[at]
-        norm = math.sqrt(float(weights @ weights))
-        return (at, weights / norm) if norm else None
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "words": b" ".join(self.words), "numbers": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, words=state["words"].split())
+
+    def weigh(self, counts: dict[int, int], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights; ``own``: the label of an example whose counts are to be left out of z."""
+        at = np.fromiter(counts, np.int64, len(counts))
+        tf = np.fromiter(counts.values(), float, len(counts))
+        tf = tf[np.argsort(at)]
+        at = np.sort(at)
+        toxic, held, n_toxic, n = self.toxic[at], self.held[at], self.n_toxic, self.n
+        if own is not None:
+            toxic, held, n_toxic, n = toxic - own, held - 1, n_toxic - own, n - 1
+        rate, share = held / max(n, 1), n_toxic / max(n, 1)
+        spread = np.sqrt(np.maximum(held * (1 - rate) * share * (1 - share), 1e-9))
+        z = np.maximum(0, toxic - held * share) / spread
+        weights = (1 + np.log(tf)) * self.idf[at] * (1 + np.where(held > 0, z, 0) ** 2)
+        return at, weights / math.sqrt(float(weights @ weights))
 
     def count(self, text: str | None) -> dict[int, int]:
-        get = self.terms.get
-        return Counter(i for i in map(get, words_of(text)) if i is not None)
+        if self.numbers is None:
+            self.numbers = {t: i for i, t in enumerate(self.words)}
+        get = self.numbers.get
+        return {i: n for w, n in Counter(words_of(text)).items() if (i := get(w)) is not None}
+
+    def scores(self, texts: list[dict[int, int]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of every text, given by its counts."""
+        nearest = self.index.nearest_each([(*self.weigh(counts), -1) for counts in texts if counts], self.k)
+        for counts in texts:
+            found = next(nearest) if counts else []
+            v = vote(found, self.labels)
+            if v is None or not len(self.tops):
+                yield self.no_vote, found
+            else:
+                yield float(self.rates[min(int(np.searchsorted(self.tops, v)), len(self.tops) - 1)]), found
+
+
+def _key(counts: dict[int, int]) -> bytes:
+    return hashlib.blake2b(np.array(sorted(counts.items()), np.int32).tobytes(), digest_size=16).digest()
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        found = self.index.nearest(*q, self.k) if (q := self.weigh(counts)) is not None else []
-        v = vote(found, self.index.labels)
-        if v is None or not len(self.tops):
-            return self.no_vote, found
-        return float(self.rates[min(int(np.searchsorted(self.tops, v)), len(self.tops) - 1)]), found
 
+def vocabulary_of(examples: DataFrame) -> list[bytes]:
+    """The distinct words of the bounded examples."""
 
-def _example_words(examples: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            words = [sorted(set(words_of(t))) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words, pa.list_(pa.binary()))], names=["toxic", "words"])
+            words = sorted(set().union(*(words_of(t) for t in part.column("text").to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])
 
-    return examples.select("toxic", "text").mapInArrow(run, "toxic int, words array<binary>")
+    return sorted(bytes(r["word"]) for r in examples.select("text").mapInArrow(run, "word binary").distinct().collect())
 
 
-def choose_terms(examples: DataFrame, n_toxic: int, n_clean: int, max_terms: int) -> list[bytes]:
-    """Words significantly tied to the toxic examples, the strongest first."""
-    per_word = (
-        _example_words(examples).select("toxic", F.explode("words").alias("word"))
-        .groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .where("a >= 3")
-    )
-    vocabulary = per_word.count()
-    a, b, n1, n0 = F.col("a"), F.col("b"), F.lit(float(n_toxic)), F.lit(float(n_clean))
-    total = n1 + n0
+def document_frequencies(texts: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
+    """The number of rows of ``texts``, and of those that hold each term; one row per task and term is shuffled."""
+    packed = b" ".join(terms)
 
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for i, t in enumerate(packed.split())}
+        counts, rows = np.zeros(len(number), dtype=np.int64), 0
+        for part in slices(batches, "text"):
+            for t in part.column("text").to_pylist():
+                rows += 1
+                at = [i for i in map(number.get, set(words_of(t))) if i is not None]
+                counts[at] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *at.tolist()], pa.int32()), pa.array([rows, *counts[at].tolist()], pa.int64())], names=["term", "n"]
+        )
 
-    g2 = 2 * (
-        part(a, (a + b) * n1 / total) + part(b, (a + b) * n0 / total)
-        + part(n1 - a, (total - a - b) * n1 / total) + part(n0 - b, (total - a - b) * n0 / total)
-    )
-    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    chosen = per_word.withColumn("g2", g2).where((lift >= 2) & (F.col("g2") >= 2 * math.log(max(vocabulary, 1)) + 8))
-    return [bytes(r["word"]) for r in chosen.orderBy(F.desc("g2"), "word").limit(max_terms).collect()]
+    found = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    totals = {r["term"]: r["n"] for r in found}
+    return totals.get(-1, 0), np.array([totals.get(i, 0) for i in range(len(terms))], dtype=float)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS, k: int = NEAREST,
+    max_chars: int = MAX_CHARS, k: int = NEAREST,
 ) -> Model:
     """Fit on at most ``max_examples`` labelled rows of ``docs``; frequencies come from all of ``docs``.
 
     Labels without a document take no place in the sample. Equal rows of one doc_id are one example; an id with
-    several labels is toxic if one of them says so.
+    several labels is toxic if one of them says so. The sample ends before the row that brings it over ``max_chars``.
     """
     texts = id_text(docs, id_col, text)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    labelled = texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_at")).join(known, "doc_id")  # no text is shuffled
-    sample = cut(labelled.select("doc_id", "_at", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_at").limit(max_examples), "sample")
+    rows = texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_at"), F.length("text").alias("_chars"))  # no text is shuffled
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_at")]
+    sample = rows.join(known, "doc_id").distinct().orderBy(*by_hash).limit(max_examples)
+    chars = F.sum(F.col("_chars").cast("long")).over(Window.orderBy(*by_hash))  # over max_examples rows of no text
+    sample = cut(sample.withColumn("_sum", chars).where(F.col("_sum") <= max_chars).select("doc_id", "_at", "toxic"), "sample")
     found = texts.withColumn("_at", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "_at"])  # at most max_examples rows
     examples = cut(found.dropDuplicates(["doc_id", "_at"]).select("doc_id", "text", "toxic"), "examples")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     rate = n_toxic / (n_toxic + n_clean) if sizes else 0.0
-    terms = choose_terms(examples, n_toxic, n_clean, max_terms) if n_toxic and n_clean else []
+    terms = vocabulary_of(examples) if n_toxic and n_clean else []
     if not terms:
         return Model([], np.zeros(0), [], k, rate)
+    everything, held = document_frequencies(texts, terms)
+    idf = np.log((1 + everything) / (1 + held)) + 1
     number = {t: i for i, t in enumerate(terms)}
-
-    def seen(batches):
-        counts, rows = np.zeros(len(number), dtype=np.int64), 0
-        for part in slices(batches, "text"):
-            for t in part.column("text").to_pylist():
-                found = number.keys() & words_of(t)
-                rows += 1
-                for w in found:
-                    counts[number[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(counts))], pa.int32()), pa.array([rows, *counts.tolist()], pa.int64())], names=["term", "n"])
-
-    # per task one row per term; max_terms + 1 rows in the end
-    totals = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(seen, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = totals.get(-1, 0)
-    idf = np.array([math.log((1 + everything) / (1 + totals.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def counted(batches):
-        for part in slices(batches, "text"):
-            found = [Counter(number[w] for w in words_of(t) if w in number) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), part.column("toxic"),
-                    pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "toxic", "at", "n"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(counted, f"doc_id {kind}, toxic int, at array<int>, n array<int>").collect()
-    vectors = [(r["doc_id"], r["toxic"], dict(zip(r["at"], r["n"], strict=True))) for r in rows]
-    return Model(terms, idf, sorted(vectors, key=lambda x: (str(x[0]), sorted(x[2].items()))), k, rate)
+    vectors = [
+        (r["doc_id"], r["toxic"], dict(sorted((number[w], n) for w, n in Counter(words_of(r["text"])).items())))
+        for r in examples.toLocalIterator()  # max_chars at most
+    ]
+    return Model(terms, idf, sorted(vectors, key=lambda x: (str(x[0]), list(x[2].items()))), k, rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", evidence: int = 3) -> DataFrame:
@@ -224,21 +310,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     from_schema = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        cache: dict = {}
+        kept: dict = {}
         for part in slices(batches, "text"):
-            scores, shown = [], []
-            for t in part.column("text").to_pylist():
-                counts = model.count(t)
-                key = tuple(sorted(counts.items()))
-                if key not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    value, found = model.score(counts)
-                    cache[key] = value, [
-                        {"example": str(model.index.ids[i]), "toxic": int(model.index.labels[i]), "cosine": float(s)} for s, i in found[:evidence]
-                    ]
-                scores.append(cache[key][0])
-                shown.append(cache[key][1])
+            texts = [model.count(t) for t in part.column("text").to_pylist()]
+            keys = [_key(counts) for counts in texts]
+            new = {key: counts for key, counts in zip(keys, texts, strict=True) if key not in kept}
+            now = {key: kept[key] for key in keys if key in kept}
+            for key, (value, found) in zip(new, model.scores(list(new.values())), strict=True):
+                now[key] = value, [
+                    {"example": str(model.ids[i]), "toxic": int(model.labels[i]), "cosine": float(s)} for s, i in found[:evidence]
+                ]
+            scores, shown = [now[key][0] for key in keys], [now[key][1] for key in keys]
+            kept = now if len(kept) > KEPT else {**kept, **now}
             kind = pa.list_(pa.struct([("example", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=["doc_id", "score", "evidence"])
 
@@ -253,6 +336,7 @@ def reject(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     def run(batches):
         for part in slices(batches, "text"):
             texts = part.column(part.schema.names.index("text")).to_pylist()
-            yield part.filter(pa.array([model.score(model.count(t))[0] < cut for t in texts], pa.bool_()))
+            scores = model.scores([model.count(t) for t in texts])
+            yield part.filter(pa.array([value < cut for value, _ in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
