@@ -26,7 +26,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -110,11 +111,10 @@ class BlockMaxIndex:
         """The ``k`` examples of the highest positive cosine and all that tie with the last of them; exact."""
         return next(self.nearest_each([(terms, weights, skip)], k))
 
-    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[list[tuple[float, int]]]:
+    def nearest_each(self, queries: Iterable[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[list[tuple[float, int]]]:
         """``nearest`` of every ``(terms, weights, skip)``; frequent terms are added up for a group of queries at once."""
         rows = self._full_rows()
-        for at in range(0, len(queries), GROUP):
-            group = queries[at : at + GROUP]
+        for group in batched(queries, GROUP):
             dense = np.zeros((len(group), len(rows)))
             for i, (terms, weights, _) in enumerate(group):
                 row = self.full_row[terms]
@@ -172,26 +172,37 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
+def _arrays(counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers in order, and their counts."""
+    if isinstance(counts, tuple):
+        return counts
+    at, n = np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+    order = np.argsort(at)
+    return at[order], n[order]
+
+
 class Model:
     """What the tasks need: terms and their weights, the index, the examples' labels and the fitted rates."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple], k: int, no_vote: float):
-        """``examples``: (id, label, {term number: count})."""
+        """``examples``: (id, label, counts), the counts as {term number: count} or as two arrays by term number."""
         self.words, self.idf, self.k, self.numbers = terms, idf, k, None
         self.toxic, self.held = np.zeros(len(terms)), np.zeros(len(terms))
+        examples = [(i, label, _arrays(counts)) for i, label, counts in examples]
         self.n_toxic, self.n = float(sum(label for _, label, _ in examples)), float(len(examples))
-        for _, label, counts in examples:
-            at = np.fromiter(counts, np.int64, len(counts))
+        for _, label, (at, _) in examples:
             self.held[at] += 1
             self.toxic[at] += label
-        known = [(i, label, counts, self.weigh(counts)) for i, label, counts in examples if counts]
+        without = [label for _, label, (at, _) in examples if not len(at)]
+        self.no_vote = (sum(without) + 0.5) / (len(without) + 1) if without else no_vote
+        known = [(*x, self.weigh(x[2])) for x in examples if len(x[2][0])]
         known.sort(key=lambda x: int(x[3][0][np.argmax(x[3][1])]))  # examples of one strongest term share blocks
         self.ids, self.labels = [x[0] for x in known], np.array([x[1] for x in known], dtype=float)
         self.index = BlockMaxIndex([x[3] for x in known], len(terms))
-        without = [label for _, label, counts in examples if not counts]
-        self.no_vote = (sum(without) + 0.5) / (len(without) + 1) if without else no_vote
-        queries = ((*self.weigh(counts, label), row) for row, (_, label, counts, _) in enumerate(known))
-        found = [vote(x, self.labels) for x in self.index.nearest_each(list(queries), k)]
+        known = [x[1:3] for x in known]
+        queries = ((*self.weigh(counts, label), row) for row, (label, counts) in enumerate(known))
+        found = [vote(x, self.labels) for x in self.index.nearest_each(queries, k)]
+        self.index.rows = None
         votes, labels = [v for v in found if v is not None], [y for v, y in zip(found, self.labels, strict=True) if v is not None]
         self.tops, self.rates = monotone(np.array(votes), np.array(labels)) if votes else (np.zeros(0), np.zeros(0))
 
@@ -201,12 +212,9 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state, words=state["words"].split())
 
-    def weigh(self, counts: dict[int, int], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights; ``own``: the label of an example whose counts are to be left out of z."""
-        at = np.fromiter(counts, np.int64, len(counts))
-        tf = np.fromiter(counts.values(), float, len(counts))
-        tf = tf[np.argsort(at)]
-        at = np.sort(at)
+        at, tf = _arrays(counts)
         toxic, held, n_toxic, n = self.toxic[at], self.held[at], self.n_toxic, self.n
         if own is not None:
             toxic, held, n_toxic, n = toxic - own, held - 1, n_toxic - own, n - 1
@@ -224,7 +232,7 @@ class Model:
 
     def scores(self, texts: list[dict[int, int]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of every text, given by its counts."""
-        nearest = self.index.nearest_each([(*self.weigh(counts), -1) for counts in texts if counts], self.k)
+        nearest = self.index.nearest_each(((*self.weigh(counts), -1) for counts in texts if counts), self.k)
         for counts in texts:
             found = next(nearest) if counts else []
             v = vote(found, self.labels)
@@ -246,7 +254,7 @@ def vocabulary_of(examples: DataFrame) -> list[bytes]:
             words = sorted(set().union(*(words_of(t) for t in part.column("text").to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])
 
-    return sorted(bytes(r["word"]) for r in examples.select("text").mapInArrow(run, "word binary").distinct().collect())
+    return sorted(examples.select("text").mapInArrow(run, "word binary").distinct().toArrow().column("word").to_pylist())
 
 
 def document_frequencies(texts: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -266,9 +274,27 @@ def document_frequencies(texts: DataFrame, terms: list[bytes]) -> tuple[int, np.
             [pa.array([-1, *at.tolist()], pa.int32()), pa.array([rows, *counts[at].tolist()], pa.int64())], names=["term", "n"]
         )
 
-    found = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    totals = {r["term"]: r["n"] for r in found}
-    return totals.get(-1, 0), np.array([totals.get(i, 0) for i in range(len(terms))], dtype=float)
+    found = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(len(terms) + 1)
+    totals[found.column("term").to_numpy()] = found.column("n").to_numpy()  # term -1, the rows, comes last
+    return int(totals[-1]), totals[:-1]
+
+
+def counted(examples: DataFrame, terms: list[bytes], kind: str) -> list[tuple]:
+    """``(doc_id, toxic, (term numbers, counts))`` of the bounded examples, in an order of their own."""
+    packed = b" ".join(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for i, t in enumerate(packed.split())}
+        for part in slices(batches, "text"):
+            found = [sorted((number[w], n) for w, n in Counter(words_of(t)).items()) for t in part.column("text").to_pylist()]
+            lists = [pa.array([[x[side] for x in f] for f in found], pa.list_(pa.int32())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], names=["doc_id", "toxic", "at", "n"])
+
+    rows = examples.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, at array<int>, n array<int>").toArrow()
+    columns = [rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()]
+    arrays = zip(*([x.values.to_numpy() for x in rows.column(c)] for c in ("at", "n")), strict=True)
+    return sorted(zip(*columns, arrays, strict=True), key=lambda x: (str(x[0]), x[2][0].tobytes(), x[2][1].tobytes()))
 
 
 def fit(
@@ -297,12 +323,7 @@ def fit(
         return Model([], np.zeros(0), [], k, rate)
     everything, held = document_frequencies(texts, terms)
     idf = np.log((1 + everything) / (1 + held)) + 1
-    number = {t: i for i, t in enumerate(terms)}
-    vectors = [
-        (r["doc_id"], r["toxic"], dict(sorted((number[w], n) for w, n in Counter(words_of(r["text"])).items())))
-        for r in examples.toLocalIterator()  # max_chars at most
-    ]
-    return Model(terms, idf, sorted(vectors, key=lambda x: (str(x[0]), list(x[2].items()))), k, rate)
+    return Model(terms, idf, counted(examples, terms, docs.schema[id_col].dataType.simpleString()), k, rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", evidence: int = 3) -> DataFrame:
