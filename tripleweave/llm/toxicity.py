@@ -228,13 +228,16 @@ class Model:
         if self.numbers is None:
             self.numbers = {t: i for i, t in enumerate(self.words)}
         get = self.numbers.get
-        return {i: n for w, n in Counter(words_of(text)).items() if (i := get(w)) is not None}
+        counts = Counter(map(get, words_of(text)))
+        counts.pop(None, None)
+        return counts
 
-    def scores(self, texts: list[dict[int, int]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, texts: list[dict[int, int] | tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Score and nearest examples of every text, given by its counts."""
-        nearest = self.index.nearest_each(((*self.weigh(counts), -1) for counts in texts if counts), self.k)
-        for counts in texts:
-            found = next(nearest) if counts else []
+        texts = [_arrays(counts) for counts in texts]
+        nearest = self.index.nearest_each(((*self.weigh(counts), -1) for counts in texts if len(counts[0])), self.k)
+        for at, _ in texts:
+            found = next(nearest) if len(at) else []
             v = vote(found, self.labels)
             if v is None or not len(self.tops):
                 yield self.no_vote, found
@@ -242,8 +245,8 @@ class Model:
                 yield float(self.rates[min(int(np.searchsorted(self.tops, v)), len(self.tops) - 1)]), found
 
 
-def _key(counts: dict[int, int]) -> bytes:
-    return hashlib.blake2b(np.array(sorted(counts.items()), np.int32).tobytes(), digest_size=16).digest()
+def _key(counts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return hashlib.blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest()
 
 
 def vocabulary_of(examples: DataFrame) -> list[bytes]:
@@ -333,7 +336,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     def run(batches):
         kept: dict = {}
         for part in slices(batches, "text"):
-            texts = [model.count(t) for t in part.column("text").to_pylist()]
+            texts = [_arrays(model.count(t)) for t in part.column("text").to_pylist()]
             keys = [_key(counts) for counts in texts]
             new = {key: counts for key, counts in zip(keys, texts, strict=True) if key not in kept}
             now = {key: kept[key] for key in keys if key in kept}
