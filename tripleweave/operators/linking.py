@@ -214,7 +214,9 @@ def disambiguate(mentions: DataFrame, priors: DataFrame, texts: DataFrame, entit
     weigh = lambda tf, key: tf.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"))
     d, e = weigh(doc_tf, "doc_id"), weigh(ent_tf, "entity")
     norm = lambda v, key: v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = pairs.join(e.withColumnRenamed("x", "xe"), "entity").join(d.withColumnRenamed("x", "xd"), ["doc_id", "w"]).groupBy("doc_id", "entity").agg(
+    # A text has few words, an entity may have those of all its texts: a pair takes the words of its text along.
+    known = pairs.join(e.select("entity").distinct(), "entity", "left_semi")
+    dots = known.join(d.withColumnRenamed("x", "xd"), "doc_id").join(e.withColumnRenamed("x", "xe"), ["entity", "w"]).groupBy("doc_id", "entity").agg(
         F.sum(F.col("xe") * F.col("xd")).alias("dot")
     )
     cosine = (
