@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tripleweave.operators import blocking as bl
 from tripleweave.operators import vectors as vc
 from tripleweave.operators.blocking import embedding_blocking
 
@@ -64,3 +65,24 @@ def test_nearest_keep_the_smaller_ids_of_wide_ties(spark, metric):
     for i in range(len(v)):
         order = sorted(range(len(v)), key=lambda j: (-round(float(score[i, j]), 9), j))[:4]
         assert [got[i, k] for k in (1, 2, 3, 4)] == order
+
+
+def test_copies_of_a_vector_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(vc, "CHUNK", 16)
+    v = clustered(5, 6)[[0] * 200 + [1, 2, 3] * 30]
+    df = table(spark, v)
+    asked = []
+    route = vc.route_vectors
+    monkeypatch.setattr(vc, "route_vectors", lambda a, b, *rest: asked.append((a.count(), b.count())) or route(a, b, *rest))
+    out = vc.cosine_links(df, df, 0.9).collect()
+    assert asked == [(4, 4)]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.9 - 1e-12))}
+    assert {(r["id_1"], r["id_2"]) for r in out} == want and len(out) == len(want)
+
+
+def test_routed_rows_leave_a_task_in_pieces(monkeypatch):
+    monkeypatch.setattr(bl, "COMPONENTS", 64 * 100)
+    pieces = [range(1000)[s] for s in bl.in_pieces(1000, 64)]
+    assert [x for p in pieces for x in p] == list(range(1000)) and max(map(len, pieces)) == 100
+    assert len(list(bl.in_pieces(3, 10**9))) == 3
