@@ -78,3 +78,13 @@ def test_scores_of_pairs_in_cells(spark):
         for got in (cells, scored):
             assert got.keys() == wanted.keys()
             assert all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
+def test_an_entity_is_one_thin_row(spark):
+    for clean in (True, False):
+        made, blocks = some_blocks(spark, clean)
+        members = meta._members(blocks, clean, ["common", "n"])
+        assert members.columns == ["side", "id", "block"] and dict(members.dtypes)["block"] == "array<bigint>"
+        ids = {(s, e) for _, s, e in made if clean or e is not None}
+        assert {(r["side"], r["id"]) for r in members.collect()} == ids and members.count() == len(ids)
+        assert set(meta._members(blocks, clean, ["common_sn", "sn"]).columns) == {"side", "id", "block", "size"}
