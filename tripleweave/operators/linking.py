@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tripleweave.functions import text as tx
+from tripleweave.plans.rounds import cut
 
 # The relation a "when" question falls back to, and its boost.
 WHEN_RELATION = ("time", "<http://www.wikidata.org/wiki/Property:P569>", 569, 0.0, 20)
@@ -69,28 +70,30 @@ def rerank_by_triples(entities: DataFrame, relations: DataFrame, facts: DataFram
 
     Per entity mention and relation mention the pairs are taken in rank order up to the first
     pair with a fact (entity, relation, ?); pairs before it count if (?, relation, entity)
-    exists. The candidates meet through the distinct (node, predicate) pairs of the facts.
+    exists. The candidates of a text meet each other, then the distinct (node, predicate) pairs of the facts.
     ``heads`` is ``(doc_id, head)``. Returns entities and relations with new boosts.
     """
     # Boosts by direction, head word "who" and use of the head rule.
     forward = F.when(F.lit(not head_rule), 12).when(F.col("head") == "who", 45).otherwise(40)
     backward = F.when(F.lit(not head_rule), 13).when(F.col("head") == "who", 15).otherwise(12)
 
+    # Which way a node and a predicate stand in a fact, one row each.
+    sides = facts.select(F.col("s").alias("eu"), F.col("p").alias("ru"), F.lit(True).alias("_f")).unionAll(
+        facts.select(F.col("o").alias("eu"), F.col("p").alias("ru"), F.lit(False).alias("_f"))
+    )
+    sides = cut(sides.groupBy("eu", "ru").agg(F.max("_f").alias("_fwd"), F.max(~F.col("_f")).alias("_bwd")), "sides")
     e = entities.select("doc_id", F.col("mention").alias("em"), F.col("uri").alias("eu"), F.col("rank").alias("er"))
     r = relations.select("doc_id", F.col("mention").alias("rm"), F.col("uri").alias("ru"), F.col("rank").alias("rr"))
-    as_subject = facts.select(F.col("s").alias("eu"), F.col("p").alias("ru")).distinct()
-    as_object = facts.select(F.col("o").alias("eu"), F.col("p").alias("ru")).distinct()
-    keys = ["doc_id", "em", "eu", "er", "rm", "ru", "rr"]
-    hit = lambda side: e.join(side, "eu").join(r, ["doc_id", "ru"]).select(*keys)
-    fwd, bwd = hit(as_subject), hit(as_object)
+    r = r.join(sides.select("ru").distinct(), "ru", "left_semi")
+    # A text's own pairs ask for their fact: an entity is not spread over all predicates it is known with.
+    hits = cut(e.join(r, "doc_id").join(sides, ["eu", "ru"]), "hits")
     place = F.struct("er", "rr")
-    first = fwd.groupBy("doc_id", "em", "rm").agg(F.min(place).alias("_first"))
-    taken = fwd.join(first, ["doc_id", "em", "rm"]).where(place == F.col("_first")).select(*keys, F.lit(True).alias("ahead"))
-    earlier = (
-        bwd.join(fwd, keys, "left_anti").join(first, ["doc_id", "em", "rm"], "left")
-        .where(F.col("_first").isNull() | (place < F.col("_first"))).select(*keys, F.lit(False).alias("ahead"))
-    )
-    gains = taken.unionAll(earlier).join(heads, "doc_id", "left").withColumn("gain", F.when(F.col("ahead"), forward).otherwise(backward))
+    first = hits.where("_fwd").groupBy("doc_id", "em", "rm").agg(F.min(place).alias("_first"))
+    # Mentions without a name have no first pair.
+    met = hits.join(first, ["doc_id", "em", "rm"], "left")
+    ahead, behind = F.col("_fwd") & (place == F.col("_first")), F.col("_bwd") & (F.col("_first").isNull() | (place < F.col("_first")))
+    taken = met.where(ahead | behind).select("doc_id", "em", "eu", "rm", "ru", F.coalesce(ahead, F.lit(False)).alias("ahead"))
+    gains = taken.join(heads, "doc_id", "left").withColumn("gain", F.when(F.col("ahead"), forward).otherwise(backward))
 
     def boosted(df: DataFrame, mention: str, uri: str) -> DataFrame:
         sums = gains.groupBy("doc_id", F.col(mention).alias("mention"), F.col(uri).alias("uri")).agg(F.sum("gain").alias("_g"))
