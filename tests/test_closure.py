@@ -1,6 +1,7 @@
 """Closures against a plain fixpoint over single triples, and large classes without their pairs."""
 
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -77,3 +78,24 @@ def test_a_large_class_is_not_listed_in_pairs(spark):
 def test_closure_of_nothing(spark):
     facts, members = rs.closure(spark.createDataFrame([], "s string, p string, o string"))
     assert facts.isEmpty() and members.isEmpty()
+
+
+def test_facts_are_not_dealt_by_predicate(spark, monkeypatch):
+    """Facts of one predicate meet the few axioms where they lie; no task gets all of them."""
+    plans, cut = [], rs.cut
+
+    def planned(df, label="state"):
+        if label == "closure":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(rs, "cut", planned)
+    t = [("sold", rs.SUB_PROPERTY, "traded"), ("traded", rs.DOMAIN, "Seller")] + [(f"s{i * 7919}", "sold", f"x{i * 104729}") for i in range(4000)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20000)  # more than the axioms take, less than the facts
+    try:
+        facts = rs.materialise(spark.createDataFrame(t, "s string, p string, o string")).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert facts == 2 + 4000 * 3
+    assert len(plans) > 1 and not any(re.search(r"SortMergeJoin \[p#\d+\], \[p#\d+\]", plan) for plan in plans)

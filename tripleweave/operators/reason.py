@@ -133,7 +133,8 @@ def closure(triples: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataF
             known = known.unionAll(new)
             if len(parts) % 8 == 0:
                 known = cut(known, "closure")  # keep the scan list short
-            axioms, new_axioms = _schema(known, members), _schema(new, members)
+            # Written: the planner sees how few axioms there are, and facts are not dealt by their predicate to meet them.
+            axioms, new_axioms = cut(_schema(known, members), "axioms"), cut(_schema(new, members), "axioms")
         derived = _derive(new, known, new_axioms, axioms).distinct()
         new = cut(derived.join(known, ["s", "p", "o"], "left_anti").where((F.col("p") != SAME) | (F.col("s") != F.col("o"))), "closure")
         found, links = new.agg(F.count("*"), F.count(F.when(_is_link(), 1))).first()
