@@ -88,3 +88,28 @@ def test_an_entity_is_one_thin_row(spark):
         ids = {(s, e) for _, s, e in made if clean or e is not None}
         assert {(r["side"], r["id"]) for r in members.collect()} == ids and members.count() == len(ids)
         assert set(meta._members(blocks, clean, ["common_sn", "sn"]).columns) == {"side", "id", "block", "size"}
+
+
+def test_node_pruning_writes_no_edges(spark, monkeypatch):
+    written, cut = [], meta.cut
+    monkeypatch.setattr(meta, "cut", lambda df, label="state": (written.append(label), cut(df, label))[1])
+    for clean in (True, False):
+        _, blocks = some_blocks(spark, clean)
+        edges = meta.edge_weights(blocks, "JS", clean, span=7).where("id_1 IS NOT NULL AND id_2 IS NOT NULL")
+        listed = [tuple(r) for r in edges.collect()]
+        ends = {}
+        for a, b, w in listed:
+            ends.setdefault((1, a), []).append(w)
+            ends.setdefault((2 if clean else 1, b), []).append(w)
+        side = 2 if clean else 1
+        mean = lambda s, x: sum(ends[s, x]) / len(ends[s, x])
+        top = lambda s, x: max(ends[s, x])
+        near = 1 - 1e-9
+        wanted = {
+            meta.weighted_node_pruning: lambda a, b, w: w >= mean(1, a) * near or w >= mean(side, b) * near,
+            meta.reciprocal_weighted_node_pruning: lambda a, b, w: w >= mean(1, a) * near and w >= mean(side, b) * near,
+            meta.blast: lambda a, b, w: w >= (top(1, a) + top(side, b)) / 4 * near,
+        }
+        for prune, keeps in wanted.items():
+            assert {(a, b) for a, b, _ in prune(edges, clean).collect()} == {(a, b) for a, b, w in listed if keeps(a, b, w)}
+    assert written and "edges" not in written
