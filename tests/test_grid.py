@@ -113,3 +113,34 @@ def test_node_pruning_writes_no_edges(spark, monkeypatch):
         for prune, keeps in wanted.items():
             assert {(a, b) for a, b, _ in prune(edges, clean).collect()} == {(a, b) for a, b, w in listed if keeps(a, b, w)}
     assert written and "edges" not in written
+
+
+def test_edges_chosen_in_the_cells_leave_results_as_they_are(spark):
+    from tripleweave.operators import cluster as cl
+
+    for clean in (True, False):
+        _, blocks = some_blocks(spark, clean)
+        edges = meta.edge_weights(blocks, "JS", clean).withColumn("weight", F.round("weight", 3))
+        prunings = {"best": meta.cardinality_edge_pruning, "best of ends": meta.cardinality_node_pruning}
+        wanted = {only: rows(prune(edges, blocks, clean)) for only, prune in prunings.items()}
+        for span in (7, 1000):
+            for only, prune in prunings.items():
+                chosen = meta.edge_weights(blocks, "JS", clean, span, only, decimals=3)
+                assert rows(prune(chosen, blocks, clean)) == wanted[only] and wanted[only]
+        if not clean:
+            few = meta.edge_weights(blocks, "JS", clean, 7, "connecting", 0.3, 3)
+            assert few.count() < edges.where("weight > 0.3").count()
+            assert rows(cl.connected_components(few, 0.3)) == rows(cl.connected_components(edges, 0.3))
+
+
+def test_copies_of_an_entity_are_bounded(spark):
+    for n, clean in ((400_000, False), (200_000, True)):
+        members = spark.range(n).select(F.lit(1).alias("side"), "id")
+        members = members.unionAll(spark.range(n).select(F.lit(2), "id")) if clean else members
+        assert max(meta._parts(members, clean, meta.SPAN)) <= 64
+
+
+def test_weights_in_cells_round_as_spark_does():
+    import numpy as np
+
+    assert meta._rounded(np.array([1 / 1024, 0.12345, 2 / 3, 0.5]), 9).tolist() == [0.000976563, 0.12345, 0.666666667, 0.5]
