@@ -28,3 +28,27 @@ def test_uneven_records_quotes_and_empty_files(spark, tmp_path):
 def test_directory_without_tables(spark, tmp_path):
     (tmp_path / "x.csv").write_text("")
     assert read_cells(spark, str(tmp_path)).count() == 0
+
+
+def test_overlaps_are_the_same_listed_and_counted_and_long_tables_are_not_sent(spark, monkeypatch):
+    import random
+
+    from conftest import rows
+
+    from tripleweave.operators import blocking as bl
+
+    rng = random.Random(5)
+    made = [[(i % 25 if i % 9 else None, " ".join(rng.sample("abcdefgh", rng.randint(0, 6)))) for i in range(30)] for _ in range(2)]
+    a, b = [spark.createDataFrame(m, "id long, v string") for m in made]
+    wanted = sorted(
+        (x, y, len({*v.split()} & {*w.split()})) for x, v in made[0] for y, w in made[1] if None not in (x, y) and len({*v.split()} & {*w.split()}) >= 2
+    )
+    counted = bl.overlap_blocking(a, b, "id", "id", "v", "v", overlap_size=2)
+    assert "FlatMapGroupsInArrow" in counted._jdf.queryExecution().executedPlan().toString()
+    assert rows(counted) == wanted
+    monkeypatch.setattr(bl, "FEW", 0)
+    made = [[(i, f"w{i % 40} x{i % 40}") for i in range(n)] for n in (200, 90)]
+    a, b = [spark.createDataFrame(m, "id long, v string") for m in made]
+    listed = bl.overlap_blocking(a, b, "id", "id", "v", "v", overlap_size=2)
+    assert "Broadcast" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert rows(listed) == sorted((i, j, 2) for i in range(200) for j in range(90) if i % 40 == j % 40)
