@@ -1,6 +1,7 @@
 """Joins on vectors against all pairs, with copies, ties and unusable rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tripleweave.operators import blocking as bl
@@ -86,3 +87,31 @@ def test_routed_rows_leave_a_task_in_pieces(monkeypatch):
     pieces = [range(1000)[s] for s in bl.in_pieces(1000, 64)]
     assert [x for p in pieces for x in p] == list(range(1000)) and max(map(len, pieces)) == 100
     assert len(list(bl.in_pieces(3, 10**9))) == 3
+
+
+def test_every_vector_of_the_table_is_searched(spark, tmp_path):
+    from queries.blocking import knn_embeddings
+
+    v = clustered(6, 12)
+    pd.DataFrame({"vec_id": range(1, 13), "embedding": [list(x) for x in v]}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {(r["id_1"], r["rank"]): r["id_2"] for r in knn_embeddings(spark, str(tmp_path)).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i + 1, k + 1): j + 1 for i in range(12) for k, j in enumerate(sorted(range(12), key=lambda j: (-round(float((u @ u.T)[i, j]), 12), j))[:5])}
+    assert got == want
+
+
+def test_vectors_go_to_bins_in_chunks_and_strips(spark, monkeypatch):
+    v = np.random.default_rng(7).normal(size=(300, 6))
+    v[100:140] = v[0]
+    monkeypatch.setattr(bl, "CHUNK", 8)
+    monkeypatch.setattr(bl, "COMPONENTS", 6 * 20)
+    got = {(r["id_1"], r["rank"]): r["id_2"] for r in embedding_blocking(table(spark, v), table(spark, v), 3).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 10)
+    assert got == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(np.lexsort((np.arange(300), -score[i]))[:3])}
+
+
+def test_bins_hold_near_cells():
+    centres = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    bins = bl._in_bins(centres, np.array([3, 3, 3, 30, 3]), 10)
+    assert bins[0] == bins[2] == bins[4] and bins[1] != bins[0] and bins[3] != bins[1]
