@@ -182,8 +182,8 @@ def kg_bilateral_max(spark, sf):
     """Entities scored by the number of literals they share."""
     f1, f2, _ = both(spark, sf)
     lit = lambda f: f.where(kb.is_literal("o"))
-    t = lit(f1).select(F.col("s").alias("e1"), F.upper("o").alias("o")).join(lit(f2).select(F.col("s").alias("e2"), "o"), "o")
-    return kb.bilateral_max(t.groupBy("e1", "e2").agg((F.count("*") / 4.0).alias("score")))
+    shared = kb.shared_objects(lit(f1).select(F.col("s").alias("e1"), F.upper("o").alias("o")), lit(f2).select(F.col("s").alias("e2"), "o"), dominated=False)
+    return kb.bilateral_max(shared.select("e1", "e2", (F.col("n") / 4.0).alias("score")))
 
 
 BOOT = f"""{sql_bilateral('sc', 'm0')}, {FUN}, {SUB},
