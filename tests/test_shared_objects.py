@@ -28,3 +28,21 @@ def test_entities_better_matched_elsewhere_are_not_listed(spark):
     assert rows(best) == [(i, i, 2) for i in range(300)]
     none = kb.shared_objects(a, a.limit(0).withColumnRenamed("e1", "e2"), dominated=False)
     assert none.count() == 0
+
+
+def test_equal_sets_are_looked_up_once(spark, monkeypatch):
+    facts = [("n1", "in", f"c{i}") for i in range(40)] + [("n2", "in", f"c{i}") for i in range(30, 60)] + [("g1", "seg", f"c{i}") for i in range(0, 60, 2)]
+    f = spark.createDataFrame(facts, "s string, p string, o string")
+    holds = {}
+    for s, p, o in facts:
+        holds.setdefault((s, p), set()).add(o)
+    kinds = [[("n1", "in"), ("g1", "seg")], [("n2", "in"), ("g1", "seg")], [("n1", "in"), ("n2", "in")], [("n1", "in")], [("n1", "in"), ("g1", "none")]]
+    sets = [(i, s, p) for i in range(50) for s, p in kinds[i % 5]] + [(None, "n1", "in"), (99, "none", "in")]
+    given = spark.createDataFrame(sets, "set_id int, s string, p string")
+    looked = []
+    cut = kb.cut
+    monkeypatch.setattr(kb, "cut", lambda df, label: looked.append(cut(df, label)) or looked[-1])
+    got = {r["set_id"]: r["score"] for r in kb.joint_local_functionality(f, given).collect()}
+    want = {i: 1.0 / len(set.intersection(*[holds[x] for x in kinds[i % 5] if x in holds])) for i in range(50)}  # an unknown fact says nothing
+    assert got == pytest.approx(want)
+    assert set(got) == set(want) and looked[0].select("_class").distinct().count() == 6

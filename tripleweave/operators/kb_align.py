@@ -151,15 +151,22 @@ def joint_local_functionality(facts: DataFrame, sets: DataFrame) -> DataFrame:
     """``(set_id, score)``: one over the number of objects that all facts of a set lead to.
 
     ``sets`` is ``(set_id, s, p)``. Only the objects of the least frequent ``(s, p)`` of a set
-    are looked up under the other ones; no object list is ever gathered.
+    are looked up under the other ones; no object list is ever gathered. Sets of equal facts are
+    one class, named by two 64-bit sums, of which the least set is looked up.
     """
+    sets = sets.select("set_id", "s", "p").where("set_id IS NOT NULL")
+    sums = [F.sum(F.xxhash64(*salt, "s", "p").cast("decimal(20,0)")).cast("string") for salt in ([], [F.lit(1)])]
+    classes = cut(sets.groupBy("set_id").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("_class")), "set_classes")
+    shown = classes.groupBy("_class").agg(F.min("set_id").alias("set_id"))
+    sets = sets.join(shown.select("set_id"), "set_id", "left_semi")
     sizes = facts.groupBy("s", "p").agg(F.count("*").alias("_n"))
     sized = sets.join(sizes, ["s", "p"])
     lead = sized.groupBy("set_id").agg(F.min(F.struct("_n", "s", "p")).alias("_l"), F.count("*").alias("_k"))
     members = lead.select("set_id", "_k", F.col("_l.s").alias("s"), F.col("_l.p").alias("p")).join(facts, ["s", "p"]).select("set_id", "_k", "o")
     hits = members.join(sets, "set_id").join(facts, ["s", "p", "o"], "left_semi")
     full = hits.groupBy("set_id", "o", "_k").agg(F.count("*").alias("_h")).where("_h = _k")
-    return full.groupBy("set_id").agg((1.0 / F.count("*")).alias("score"))
+    found = full.groupBy("set_id").agg((1.0 / F.count("*")).alias("score"))
+    return classes.join(found.join(shown, "set_id").select("_class", "score"), "_class").select("set_id", "score")
 
 
 # --- predicates ------------------------------------------------------------------------
